@@ -555,7 +555,7 @@ def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
 # --- languages --------------------------------------------------------------------------------
 
 _LANGUAGE_MODEL = """
-    words AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM documents),
+    words AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}]{1,64}')) AS word FROM documents),
     counts AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL),
     by_lang AS (SELECT lang, word, count(*) AS n FROM words GROUP BY ALL),
     vocabulary AS (SELECT DISTINCT word FROM words),
