@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from webweave.fixtures import table, view, with_views
 from webweave.functions import columns as C
 from webweave.functions import urls as U
-from webweave.operators import crawl, graph, language, matching, reports
+from webweave.operators import crawl, density, graph, language, matching, reports, text
 from webweave.operators.keys import check_keys, upsert
 from webweave.plans.crawl import crawl as run_crawl
-from webweave.plans.ingest import State, clean_backlinks, clean_domains, ingest
+from webweave.plans.ingest import State, ingest
+from webweave.plans.recluster import recluster as run_recluster
 from webweave.schemas import BACKLINKS, DOMAINS, SCRAPED_DOMAINS, URL_MATCHES
+from webweave.session import materialize
 from webweave.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -738,11 +740,6 @@ def component_of(spark: SparkSession, sf: str) -> DataFrame:
     return graph.component_of(info, ["n7"])
 
 
-# the node with the most links, so that its removal changes the components
-_HUB = """(SELECT domain FROM (SELECT src AS domain FROM {0} UNION ALL SELECT dst FROM {0})
-           GROUP BY domain ORDER BY count(*) DESC, domain LIMIT 1)"""
-
-
 @query(
     "remove_node",
     _graph_sql("fx_edges_large", "'n7'") + " SELECT * FROM stats",
@@ -884,3 +881,211 @@ def cluster_of_url(spark: SparkSession, sf: str) -> DataFrame:
     return reports.cluster_of_url(cluster_backlinks(spark, sf), url).select(
         "cluster", "url_main", "page_id"
     )
+
+
+# --- text clustering --------------------------------------------------------------------------
+
+MIN_SAMPLES = 10
+EPS = 1.2
+_WEIGHTS = """
+    words AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents),
+    counts AS (SELECT doc_id, lang, term, count(*) AS tf FROM words GROUP BY ALL),
+    sizes AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+    vocabulary AS (SELECT lang, term, count(*) AS df FROM counts GROUP BY ALL HAVING count(*) >= 2),
+    raw AS (SELECT doc_id, lang, term, tf, tf * (ln((1 + n) / (1 + df)) + 1) AS w
+            FROM counts JOIN vocabulary USING (lang, term) JOIN sizes USING (lang)),
+    weights AS (SELECT doc_id, lang, term, tf, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
+_DISTANCES = _WEIGHTS + """,
+    dots AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(x.weight * y.weight) AS dot
+             FROM weights x JOIN weights y USING (lang, term) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+    squares AS (SELECT d.doc_id, d.lang, d.n_chars, CASE WHEN w.doc_id IS NULL THEN 0 ELSE 1 END AS sq
+                FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM weights) w USING (doc_id)),
+    gaps AS (SELECT p.lang, p.doc_id AS a, q.doc_id AS b, p.n_chars AS na, q.n_chars AS nb,
+                    p.sq + q.sq - 2 * coalesce(dot, 0) AS d2
+             FROM squares p JOIN squares q ON p.lang = q.lang AND p.doc_id <> q.doc_id
+             LEFT JOIN dots ON dots.a = p.doc_id AND dots.b = q.doc_id),
+    pairs AS (SELECT lang, a, b, na, nb, CASE WHEN d2 < 1e-12 THEN 0 ELSE sqrt(d2) END AS d FROM gaps),
+    cores AS (SELECT lang, a AS doc_id, max(d) AS core
+              FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM pairs)
+              WHERE r <= 10 GROUP BY ALL)"""
+
+
+@query(
+    "tfidf",
+    f"WITH {_WEIGHTS} SELECT doc_id, lang, term, tf, round(weight, 6) AS weight FROM weights",
+)
+def tfidf(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(text.tfidf(table(spark, sf, "documents", spread=True)))
+
+
+def _text_points(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents with the representative of their text, and the points of all texts."""
+    documents = table(spark, sf, "documents", spread=True)
+    members, groups = text.copies(documents, "doc_id", "lang", "text")
+    groups = materialize(groups)
+    rep = groups.select("lang", "digest", F.col("doc_id").alias("rep"))
+    points = materialize(text.vectors(groups, "doc_id", "lang"))
+    return members.join(rep, ["lang", "digest"]).select("doc_id", "lang", "rep"), points
+
+
+@query(
+    "core_distance",
+    f"WITH {_DISTANCES} SELECT doc_id, lang, round(core, 6) AS core FROM cores",
+)
+def core_distance(spark: SparkSession, sf: str) -> DataFrame:
+    members, points = _text_points(spark, sf)
+    cores = density.core_distances(points, MIN_SAMPLES)
+    return members.join(cores.withColumnRenamed("id", "rep"), "rep").select(
+        "doc_id", "lang", F.round("core", 6).alias("core")
+    )
+
+
+def _tree(spark: SparkSession, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    cores = materialize(density.core_distances(points, MIN_SAMPLES))
+    edges = materialize(density.reachability_forest(points, cores))
+    return cores, density.tree_edges(density.boruvka(edges), edges)
+
+
+@query("spanning_tree")
+def spanning_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Weight of the minimum spanning tree under mutual reachability, per language.
+
+    The copies of a text join each other at its core distance.
+    """
+    _, points = _text_points(spark, sf)
+    cores, tree = _tree(spark, points)
+    inside = points.where("mult > 1").join(cores.select("id", "core"), "id").select(
+        "part", ((F.col("mult") - 1) * F.col("core")).alias("w"), (F.col("mult") - 1).alias("n")
+    )
+    return tree.select("part", "w", F.lit(1).cast("long").alias("n")).union(inside).groupBy(
+        F.col("part").alias("lang")
+    ).agg(F.sum("n").alias("edges"), F.round(F.sum("w"), 6).alias("total"))
+
+
+@query(
+    "density_components",
+    f"""WITH RECURSIVE {_DISTANCES},
+        close AS (SELECT p.a, p.b FROM pairs p JOIN cores x ON x.doc_id = p.a JOIN cores y ON y.doc_id = p.b
+                  WHERE greatest(p.d, x.core, y.core) <= {EPS}),
+        reach(doc_id, label) USING KEY (doc_id) AS (
+          SELECT doc_id, doc_id FROM documents
+          UNION
+          SELECT c.b, min(r.label) FROM reach r JOIN close c ON c.a = r.doc_id
+            JOIN recurring.reach old ON old.doc_id = c.b
+          WHERE r.label < old.label GROUP BY c.b)
+        SELECT doc_id, label FROM reach""",
+)
+def density_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of documents that are connected at mutual reachability up to ``EPS``.
+
+    The spanning tree cut at that weight gives the same groups as all pairs. Copies of a text are
+    connected once their core distance is within ``EPS``; otherwise each stands alone.
+    """
+    members, points = _text_points(spark, sf)
+    cores, tree = _tree(spark, points)
+    edges = tree.where(F.col("w") <= EPS).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    groups = graph.connected(points.select(F.col("id").alias("domain")), edges)
+    linked = groups.join(cores.select(F.col("id").alias("domain"), "core"), "domain").select(
+        F.col("domain").alias("rep"), "root", (F.col("core") <= EPS).alias("linked")
+    )
+    return members.join(linked, "rep").select(
+        "doc_id", F.when(F.col("linked"), F.col("root")).otherwise(F.col("doc_id")).alias("label")
+    )
+
+
+@query(
+    "cluster_mean_distance",
+    f"""WITH {_DISTANCES}
+        SELECT d.lang, d.n_chars % 5 AS label, round(coalesce(any_value(s.total), 0) / count(*) / count(*), 6) AS mean_distance
+        FROM documents d LEFT JOIN (SELECT lang, na % 5 AS label, sum(d) AS total FROM pairs
+                                    WHERE na % 5 = nb % 5 GROUP BY ALL) s
+          ON s.lang = d.lang AND s.label = d.n_chars % 5
+        GROUP BY d.lang, d.n_chars % 5""",
+)
+def cluster_mean_distance(spark: SparkSession, sf: str) -> DataFrame:
+    _, points = _text_points(spark, sf)
+    sizes = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), (F.col("n_chars") % 5).alias("label")
+    )
+    means = density.mean_distances(points.join(sizes, "id"))
+    return means.select(
+        F.col("part").alias("lang"), "label", F.round("mean_distance", 6).alias("mean_distance")
+    )
+
+
+def _vector_points(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(
+        F.lit("all").alias("part"),
+        F.col("vec_id").alias("id"),
+        F.lit(1).cast("long").alias("mult"),
+        F.sequence(F.lit(0).cast("long"), F.size("embedding").cast("long") - 1).alias("idx"),
+        F.col("embedding").cast("array<double>").alias("val"),
+        "label",
+    )
+
+
+_VECTOR_PAIRS = """
+    SELECT x.vec_id AS a, y.vec_id AS b, x.label AS la, y.label AS lb,
+           list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS d
+    FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id"""
+
+
+@query(
+    "nearest_vectors",
+    f"""SELECT a AS vec_id, b AS other, round(d, 6) AS dist FROM (
+          SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM ({_VECTOR_PAIRS})) WHERE r <= 10""",
+)
+def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return density.nearest(_vector_points(spark, sf), MIN_SAMPLES).select(
+        F.col("id").alias("vec_id"), "other", F.round("dist", 6).alias("dist")
+    )
+
+
+@query(
+    "core_distance_vectors",
+    f"""SELECT a AS vec_id, round(max(d), 6) AS core FROM (
+          SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS r FROM ({_VECTOR_PAIRS})) WHERE r <= 10
+        GROUP BY a""",
+)
+def core_distance_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return density.core_distances(_vector_points(spark, sf), MIN_SAMPLES).select(
+        F.col("id").alias("vec_id"), F.round("core", 6).alias("core")
+    )
+
+
+@query(
+    "mean_distance_vectors",
+    f"""SELECT e.label, round(coalesce(any_value(total), 0) / count(*) / count(*), 6) AS mean_distance
+        FROM embeddings e LEFT JOIN (SELECT la AS label, sum(d) AS total FROM ({_VECTOR_PAIRS})
+                                     WHERE la = lb GROUP BY la) USING (label) GROUP BY e.label""",
+)
+def mean_distance_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    points = _vector_points(spark, sf).withColumn("label", F.col("label").cast("long"))
+    return density.mean_distances(points).select(
+        "label", F.round("mean_distance", 6).alias("mean_distance")
+    )
+
+
+@query("hdbscan")
+def hdbscan(spark: SparkSession, sf: str) -> DataFrame:
+    labels = density.hdbscan(_vector_points(spark, sf), min_cluster_size=5)
+    return labels.select(F.col("id").alias("vec_id"), "label")
+
+
+def _crawled_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as successfully crawled pages of one domain each."""
+    return table(spark, sf, "documents", spread=True).select(
+        F.concat(F.lit("d"), "doc_id").alias("domain"), F.col("text").alias("main"), "lang",
+        F.to_timestamp(F.lit(LOAD_TIME)).alias("last_successful_scrape_date"),
+    )
+
+
+@query("recluster")
+def recluster(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(run_recluster(_crawled_documents(spark, sf)))
+
+
+@query("recluster_small")
+def recluster_small(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of three and more, which the test documents do have."""
+    return _rounded(run_recluster(_crawled_documents(spark, sf), min_cluster_size=3))
