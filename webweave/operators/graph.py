@@ -79,49 +79,65 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(domain, root): the smallest member of each node's weakly connected component.
 
-    Alternating large-star and small-star steps (Kiveris et al. 2014). Each step is a map-side
-    combined minimum per node and one join, so a hub never has its neighbours gathered; the only
-    value that reaches the driver is a count and a checksum per round.
+    Rounds of hooking and contraction: every node points at its smallest neighbour if that is
+    smaller, pointers are doubled until they end at roots, and the roots become the nodes of the
+    next, smaller graph. A root that nothing points at has a smaller neighbour in the next round, so
+    two rounds at least halve the nodes. The minimum is combined on the map side and the pointer
+    table has one row per node, so a hub never has its neighbours gathered; only counts reach the
+    driver.
     """
     pairs = materialize(
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
         .where("u <> v")
         .distinct()
     )
-    seen = None
+    rounds = []
     while True:
+        pointers = _point(pairs)
+        rounds.append(pointers)
+        of_u = pointers.select(F.col("x").alias("u"), F.col("root").alias("_u"))
+        of_v = pointers.select(F.col("x").alias("v"), F.col("root").alias("_v"))
         watch = Observation()
-        checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         pairs = materialize(
-            _small_star(_large_star(pairs)).observe(watch, F.count("*").alias("n"), checksum.alias("h"))
+            pairs.join(of_u, "u").join(of_v, "v").where("_u <> _v")
+            .select(F.greatest("_u", "_v").alias("u"), F.least("_u", "_v").alias("v"))
+            .distinct()
+            .observe(watch, F.count("*").alias("n"))
         )
-        if watch.get == seen:
+        if not watch.get["n"]:
             break
-        seen = watch.get
-    roots = pairs.select(F.col("u").alias("domain"), F.col("v").alias("root"))
-    return nodes.join(roots, "domain", "left").withColumn("root", F.coalesce("root", "domain"))
-
-
-def _large_star(pairs: DataFrame) -> DataFrame:
-    both = pairs.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
-            )
-        ).alias("e")
-    ).select("e.u", "e.v")
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return (
-        both.join(least, "u")
-        .where("v > u")
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # a root of one round is a node of the next, as long as it has neighbours there
+    roots = rounds.pop()
+    while rounds:
+        later = roots.select(F.col("x").alias("root"), F.col("root").alias("_root"))
+        roots = rounds.pop().join(later, "root", "left").select(
+            "x", F.coalesce("_root", "root").alias("root")
+        )
+    return nodes.join(roots.withColumnRenamed("x", "domain"), "domain", "left").withColumn(
+        "root", F.coalesce("root", "domain")
     )
 
 
-def _small_star(pairs: DataFrame) -> DataFrame:
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    moved = pairs.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+def _point(pairs: DataFrame) -> DataFrame:
+    """(x, root) of one round: the end of each node's chain of smaller neighbours."""
+    ends = F.explode(F.array(
+        F.struct(F.col("u").alias("x"), F.col("v").alias("y")),
+        F.struct(F.col("v").alias("x"), F.col("u").alias("y")),
+    ))
+    pointers = materialize(
+        pairs.select(ends.alias("e")).groupBy(F.col("e.x").alias("x"))
+        .agg(F.least(F.min("e.y"), F.first("e.x")).alias("root"))
+    )
+    while True:
+        for _ in range(2):
+            ahead = pointers.select(F.col("x").alias("root"), F.col("root").alias("_next"))
+            pointers = pointers.join(ahead, "root").select(
+                "x", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("_moved")
+            )
+        watch = Observation()
+        pointers = materialize(pointers.observe(watch, F.count_if("_moved").alias("moved"))).drop("_moved")
+        if not watch.get["moved"]:
+            return pointers
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
