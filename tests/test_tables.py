@@ -7,9 +7,10 @@ import json
 
 import pytest
 
+from webweave import schemas
 from webweave.operators import crawl
 from webweave.operators.keys import check_keys, upsert
-from webweave.plans.ingest import clean_backlinks
+from webweave.plans.ingest import State, clean_backlinks, ingest, stored_in
 from webweave.sources import tables
 from webweave.sources.export import read_export
 
@@ -109,3 +110,33 @@ def test_pick_response(spark):
     assert got["e"].html is None and got["e"].last_scrape_code == 404
     first = {r.domain: r for r in crawl.pick_response(tried, responses, "first_ok").collect()}
     assert first["d"].html == "first"
+
+
+def test_ingest_stores_each_table(spark, tmp_path):
+    header = "`#` string, `Referring Page URL` string, `Link URL` string, `Link Anchor` string, `Backlink Status` string, "
+    header += "`First Seen` string, `Last Check` string, `Day Lost` string"
+    export = spark.createDataFrame([
+        ("1", "https://www.m.a.com/1", "http://t", "", "", "2020-01-02", "", ""),
+        ("2", "http://a.com/2", "http://t", "x", "Lost", "2020-01-01", "", ""),
+        ("3", "http://other.org/", "http://t", "x", "", "2020-01-01", "", ""),
+        ("4", "mailto:x", "http://t", "x", "", "2020-01-01", "", ""),
+    ], header)
+    domains = spark.createDataFrame(
+        [("1", "a.com", "55.5", "7", "2019-01-01")],
+        "`#` string, `Referring Domain` string, `Domain Rating (desc)` string, `Organic Traffic` string, `First Seen` string",
+    )
+    empty = State(*[
+        spark.createDataFrame([], s)
+        for s in (schemas.BACKLINKS, schemas.DOMAINS, schemas.URL_MATCHES, schemas.SCRAPED_DOMAINS)
+    ])
+    state = ingest(export, domains, empty, "2024-01-01", store=stored_in(str(tmp_path)))
+    for _ in range(2):
+        assert rows(state.url_matches) == [("a.com", "a.com", None), ("m.a.com", "a.com", None), ("other.org", None, None)]
+        queue = state.scraped.collect()
+        assert [(r.domain, r.total_backlinks, r.live_backlinks, r.url_www, r.url_https, r.first_seen.day) for r in queue] == [
+            ("a.com", 2, 1, 1, 1, 1)
+        ]
+        assert state.backlinks.count() == 4 and state.domains.first().organic_traffic == 7
+        state = ingest(export, domains, state, "2024-01-02", store=stored_in(str(tmp_path)))
+    anchored = ingest(export, domains, empty, "2024-01-01", types=["Has anchor"]).scraped.first()
+    assert anchored.total_backlinks == 1

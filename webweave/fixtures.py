@@ -137,7 +137,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for other in needed(name):
         for base in BASE_TABLES:
             if re.search(rf"\b{base}\b", VIEWS[other]):
-                table(spark, sf_dir, base).createOrReplaceTempView(base)
+                # pages are parsed row by row, so their rows are dealt out to all cores first
+                spread = base == "pages" and other == "fx_responses"
+                table(spark, sf_dir, base, spread).createOrReplaceTempView(base)
         df = spark.sql(VIEWS[other])
         if other == name:
             return df

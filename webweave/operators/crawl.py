@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webweave.functions import urls
 from webweave.functions.html import extract_page
 from webweave.operators.keys import upsert
-from webweave.operators.matching import match_domain
+from webweave.operators.matching import match_domain, stored_host
 
 # Texts and conditions of the crawl.
 NEVER_SCRAPED = "last_scrape_date IS NULL"
@@ -35,7 +35,7 @@ def crawl_counters(
     parts = urls.split_url(F.col("referring_page_url"))
     hosts = (
         backlinks.select(
-            parts["host"].alias("url_main"),
+            stored_host(backlinks).alias("url_main"),
             F.isnull("backlink_status").cast("long").alias("live"),
             F.coalesce(parts["www"] == urls.WWW, F.lit(False)).cast("long").alias("www"),
             F.coalesce(parts["scheme"] == urls.HTTPS, F.lit(False)).cast("long").alias("https"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -14,7 +14,13 @@ from webweave.functions.urls import clean_link, split_url
 from webweave.operators.crawl import build_crawl_queue
 from webweave.operators.keys import upsert
 from webweave.operators.matching import build_domain_matches
-from webweave.schemas import BACKLINK_KEYS, DOMAIN_KEYS
+from webweave.schemas import BACKLINK_KEYS, DOMAIN_KEYS, SCRAPED_KEYS, URL_MATCH_KEYS
+from webweave.sources.tables import replace_table
+
+TABLE_KEYS = {
+    "backlinks": BACKLINK_KEYS, "domains": DOMAIN_KEYS, "url_matches": URL_MATCH_KEYS,
+    "scraped": SCRAPED_KEYS,
+}
 
 BACKLINK_TIMES = ["first_seen", "last_check", "day_lost"]
 DOMAIN_TIMES = ["first_seen"]
@@ -76,18 +82,23 @@ def ingest(
     types: Sequence[str] | None = None,
     link_rules: Sequence[tuple[str, Column]] = (),
     escape_links: bool = False,
+    store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
 ) -> State:
-    """State after an upload. Store each table with ``replace_table``, which checks its key.
+    """State after an upload.
 
-    ``types`` limits the crawl queue to backlinks of these link types; None takes all.
+    ``types`` limits the crawl queue to backlinks of these link types; None takes all. Each table
+    goes through ``store(name, table)`` as soon as it is known and the next ones are computed from
+    what that returns, so with ``stored_in`` nothing is computed twice. The default stores nothing.
     """
-    backlinks = upsert(
-        state.backlinks,
-        clean_backlinks(backlinks_export, load_time, link_rules, escape_links),
-        BACKLINK_KEYS,
-        "all",
-    )
-    domains = upsert(state.domains, clean_domains(domains_export, load_time), DOMAIN_KEYS, "all")
-    matches = build_domain_matches(backlinks, domains)
-    scraped = build_crawl_queue(state.scraped, backlinks, matches, types)
+    rows = clean_backlinks(backlinks_export, load_time, link_rules, escape_links)
+    backlinks = store("backlinks", upsert(state.backlinks, rows, BACKLINK_KEYS, "all"))
+    rows = clean_domains(domains_export, load_time)
+    domains = store("domains", upsert(state.domains, rows, DOMAIN_KEYS, "all"))
+    matches = store("url_matches", build_domain_matches(backlinks, domains))
+    scraped = store("scraped", build_crawl_queue(state.scraped, backlinks, matches, types))
     return State(backlinks, domains, matches, scraped)
+
+
+def stored_in(folder: str) -> Callable[[str, DataFrame], DataFrame]:
+    """A ``store`` that replaces the tables of a folder, each with its key checked."""
+    return lambda name, df: replace_table(df, f"{folder.rstrip('/')}/{name}", TABLE_KEYS[name])
