@@ -56,12 +56,13 @@ VIEWS = {
                                        '<article><a href="', q.url, '">x</a><a href="/relative">r</a>')),
                    '</article>', concat('</article>', CASE WHEN p.page_id % 4 = 3 THEN '</main>' ELSE '' END))
                END AS html
-        FROM pages p JOIN pages q
-          ON q.page_id = (p.page_id * 31 + 17) % (SELECT count(*) FROM pages)""",
+        FROM (SELECT *, (page_id * 31 + 17) % (SELECT count(*) FROM pages) AS other FROM pages) AS p
+        JOIN pages q ON q.page_id = p.other""",
     "fx_edges_small": """
         SELECT DISTINCT a.url_main AS src, b.url_main AS dst
-        FROM fx_backlinks a JOIN fx_backlinks b
-          ON b.page_id = (a.page_id * 31 + 17) % (SELECT count(*) FROM fx_backlinks)
+        FROM (SELECT url_main, (page_id * 31 + 17) % (SELECT count(*) FROM pages) AS other
+              FROM fx_backlinks) AS a
+        JOIN fx_backlinks b ON b.page_id = a.other
         WHERE a.url_main <> b.url_main""",
     "fx_edges_large": """
         SELECT concat('o', CAST(o_orderkey AS STRING)) AS src, concat('c', CAST(o_custkey AS STRING)) AS dst
