@@ -415,13 +415,12 @@ _PAGE_TEXT = """trim(regexp_replace(replace(replace(replace(replace(
       regexp_replace(regexp_replace(regexp_replace({part}, '<!--.*?-->', ' ', 'gs'),
         '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'gs'),
       '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '[ \\n\\t\\r]+', ' ', 'g'))"""
-_PAGES = f"""
-    SELECT page_id, url, domain, html, status_code, fetched_at,
+_PAGE_COLUMNS = f"""
            {_PAGE_TEXT.format(part=f"CASE WHEN html LIKE '%<main>%' THEN regexp_extract(html, '<main>(.*?)</main>', 1, 's') ELSE {_REDUCED} END")} AS main,
            list_filter(regexp_extract_all(CASE WHEN html LIKE '%<main>%' THEN html ELSE {_REDUCED} END,
              '<a href="(https?://[^"]*)"', 1), lambda x: NOT contains(x, domain)) AS links,
-           {_PAGE_TEXT.format(part="regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title
-    FROM fx_responses"""
+           {_PAGE_TEXT.format(part="regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} AS title"""
+_PAGES = f"SELECT page_id, url, domain, html, status_code, fetched_at, {_PAGE_COLUMNS} FROM fx_responses"
 
 
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
@@ -529,31 +528,6 @@ def apply_scrape(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.apply_scrape(scraped, results).select(*_CRAWL_COLUMNS)
 
 
-@query("crawl")
-def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole crawl: the queue is all hosts, each answered for its candidate URLs.
-
-    The pages of a host answer its candidate URLs in turn, so every attempt finds a response.
-    """
-    backlinks = view(spark, sf, "fx_backlinks")
-    hosts = backlinks.where("url_main IS NOT NULL").groupBy(F.col("url_main").alias("domain")).agg(
-        F.count("*").alias("total_backlinks"),
-        F.count_if(F.isnull("backlink_status")).alias("live_backlinks"),
-        F.count_if(F.col("url_www") == U.WWW).alias("url_www"),
-        F.count_if(F.col("url_https") == U.HTTPS).alias("url_https"),
-        F.min("first_seen").alias("first_seen"),
-    )
-    scraped = _conform(hosts, SCRAPED_DOMAINS)
-    captured = _attempts(spark, sf).withColumn("pos", F.col("pos") - 1).withColumnRenamed("url", "page_url")
-    responses = crawl.candidates(scraped).join(captured, ["domain", "pos"]).drop("domain", "pos")
-    documents = table(spark, sf, "documents", spread=True)
-    model = language.train_language_model(documents, "lang", "text")
-    result = run_crawl(scraped, responses, view(spark, sf, "fx_domains"), model)
-    return result.select(
-        *_CRAWL_COLUMNS, "lang", F.array_join("links_known_domains", " ").alias("links_known_domains")
-    )
-
-
 # --- languages --------------------------------------------------------------------------------
 
 _LANGUAGE_MODEL = """
@@ -598,6 +572,70 @@ def detect_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.detect_language(documents, model, "doc_id", "text")
 
 
+_CRAWLED = f"""
+    queue AS (
+      SELECT url_main AS domain, count(*) AS total_backlinks, count(*) FILTER (url_www = 'www.') AS www,
+             count(*) FILTER (url_https = 'https://') AS https
+      FROM fx_backlinks WHERE url_main IS NOT NULL GROUP BY 1),
+    tries AS (
+      SELECT domain, total_backlinks, (www > 0)::INT * ((https > 0)::INT + (https < total_backlinks)::INT)
+             + (www < total_backlinks)::INT * ((https > 0)::INT + (https < total_backlinks)::INT) AS tries FROM queue),
+    attempts AS (SELECT a.* FROM ({_ATTEMPTS}) a JOIN tries USING (domain) WHERE pos <= tries),
+    picked AS ({_PICKED.replace(f"({_ATTEMPTS})", "attempts")}),
+    read AS (SELECT domain, {_PAGE_COLUMNS} FROM picked),
+    known AS (
+      SELECT domain, coalesce(string_agg(known, ' ' ORDER BY known), '') AS links_known_domains FROM (
+        SELECT DISTINCT domain, d.referring_domain AS known
+        FROM (SELECT domain, unnest(CASE WHEN len({_LINK_HOSTS}) > 0 THEN {_LINK_HOSTS} ELSE [NULL] END) AS host FROM read)
+        LEFT JOIN fx_domains d ON regexp_extract(host, '[^.]+[.][^.]+[.][^.]+$', 0) = d.referring_domain)
+      GROUP BY domain),
+    page_words AS (SELECT domain, unnest(regexp_extract_all(lower(main), '[\\p{{L}}]{{1,64}}')) AS word FROM read),
+    page_counts AS (SELECT domain, word, count(*) AS n FROM page_words GROUP BY ALL),
+    page_grams AS (
+      SELECT word, substr(concat(' ', word, ' '), i, k) AS gram
+      FROM (SELECT DISTINCT word FROM page_words), unnest([1, 2, 3]) AS s(k), unnest(range(1, length(word) + 4 - k)) AS r(i)
+      WHERE substr(concat(' ', word, ' '), i, k) <> ' '),
+    page_scores AS (
+      SELECT domain, lang, sum(n * weight) AS score
+      FROM page_counts JOIN page_grams USING (word) JOIN model USING (gram) GROUP BY ALL),
+    page_lang AS (SELECT domain, arg_max(lang, (round(score, 6), lang)) AS lang FROM page_scores GROUP BY domain)"""
+
+
+@query(
+    "crawl",
+    f"""WITH {_LANGUAGE_MODEL}, {_CRAWLED}
+        SELECT p.domain, total_backlinks, last_scrape_code, last_scrape_request_error, last_scrape_date,
+               CASE WHEN p.html IS NOT NULL THEN last_scrape_date END AS last_successful_scrape_date,
+               NULL::VARCHAR AS last_scrape_parse_error, r.main,
+               CASE WHEN p.html IS NOT NULL THEN coalesce(l.lang, 'Can''t detect language - no text, or langdetect not installed') END AS lang,
+               CASE WHEN p.html IS NOT NULL THEN k.links_known_domains END AS links_known_domains
+        FROM picked p JOIN tries USING (domain) JOIN read r USING (domain) LEFT JOIN known k USING (domain)
+             LEFT JOIN page_lang l USING (domain)""",
+)
+def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole crawl: the queue is all hosts, each answered for its candidate URLs.
+
+    The pages of a host answer its candidate URLs in turn, so every attempt finds a response.
+    """
+    backlinks = view(spark, sf, "fx_backlinks")
+    hosts = backlinks.where("url_main IS NOT NULL").groupBy(F.col("url_main").alias("domain")).agg(
+        F.count("*").alias("total_backlinks"),
+        F.count_if(F.isnull("backlink_status")).alias("live_backlinks"),
+        F.count_if(F.col("url_www") == U.WWW).alias("url_www"),
+        F.count_if(F.col("url_https") == U.HTTPS).alias("url_https"),
+        F.min("first_seen").alias("first_seen"),
+    )
+    scraped = _conform(hosts, SCRAPED_DOMAINS)
+    captured = _attempts(spark, sf).withColumn("pos", F.col("pos") - 1).withColumnRenamed("url", "page_url")
+    responses = crawl.candidates(scraped).join(captured, ["domain", "pos"]).drop("domain", "pos")
+    documents = table(spark, sf, "documents", spread=True)
+    model = language.train_language_model(documents, "lang", "text")
+    result = run_crawl(scraped, responses, view(spark, sf, "fx_domains"), model)
+    return result.select(
+        *_CRAWL_COLUMNS, "lang", F.array_join("links_known_domains", " ").alias("links_known_domains")
+    )
+
+
 # --- graph ------------------------------------------------------------------------------------
 
 
