@@ -984,7 +984,24 @@ def _tree(spark: SparkSession, points: DataFrame) -> tuple[DataFrame, DataFrame]
     return cores, density.tree_edges(density.boruvka(edges), edges)
 
 
-@query("spanning_tree")
+# Prim's algorithm as a recursive query: each step adds the nearest document of every language
+@query(
+    "spanning_tree",
+    f"""WITH RECURSIVE {_DISTANCES},
+        weighed AS MATERIALIZED (
+          SELECT p.a, p.b, greatest(p.d, x.core, y.core) AS w FROM pairs p
+          JOIN cores x ON x.doc_id = p.a JOIN cores y ON y.doc_id = p.b),
+        tree(doc_id, lang, best, inside) USING KEY (doc_id) AS (
+          SELECT doc_id, lang, (CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY lang) THEN 0 ELSE 9 END)::DOUBLE, false
+          FROM documents
+          UNION
+          SELECT r.doc_id, r.lang, CASE WHEN r.doc_id = p.next THEN r.best ELSE w.w END, r.doc_id = p.next
+          FROM (SELECT lang, arg_min(doc_id, (best, doc_id)) AS next FROM recurring.tree WHERE NOT inside GROUP BY lang) p
+          JOIN recurring.tree r ON r.lang = p.lang AND NOT r.inside
+          LEFT JOIN weighed w ON w.a = p.next AND w.b = r.doc_id
+          WHERE r.doc_id = p.next OR w.w < r.best)
+        SELECT lang, count(*) - 1 AS edges, round(sum(best), 4) AS total FROM tree GROUP BY lang""",
+)
 def spanning_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Weight of the minimum spanning tree under mutual reachability, per language.
 
@@ -997,7 +1014,7 @@ def spanning_tree(spark: SparkSession, sf: str) -> DataFrame:
     )
     return tree.select("part", "w", F.lit(1).cast("long").alias("n")).union(inside).groupBy(
         F.col("part").alias("lang")
-    ).agg(F.sum("n").alias("edges"), F.round(F.sum("w"), 6).alias("total"))
+    ).agg(F.sum("n").alias("edges"), F.round(F.sum("w"), 4).alias("total"))
 
 
 @query(
