@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webweave.operators.ordered import numbered
@@ -164,36 +164,14 @@ def domain_info(nodes: DataFrame, edges: DataFrame, domains: DataFrame) -> DataF
     )
 
 
-def component_stats(info: DataFrame) -> DataFrame:
-    """Per component: size, links, density, star, centroid and its links.
-
-    Every edge is counted once, at its source node, so no join with the edges is needed.
-    """
-    best = F.min_by(
+def _component_report(info: DataFrame, *measures: Column) -> DataFrame:
+    """One aggregation per component; every edge is counted once, at its source node."""
+    centroid = F.min_by(
         F.struct("domain", "all_links"), F.struct(-F.col("all_links"), F.col("domain"))
     )
-    return _component_report(info.groupBy("component").agg(
-        F.count("*").alias("size"), F.sum("out_links").alias("links"), best.alias("best")
-    ))
-
-
-def component_info(info: DataFrame) -> DataFrame:
-    """``component_stats`` with mean and maximum of rating and traffic, in the same aggregation."""
-    best = F.min_by(
-        F.struct("domain", "all_links"), F.struct(-F.col("all_links"), F.col("domain"))
+    grouped = info.groupBy("component").agg(
+        F.count("*").alias("size"), F.sum("out_links").alias("links"), centroid.alias("best"), *measures
     )
-    measures = [
-        f(c).alias(f"{name}_{c}")
-        for name, f in (("mean", F.avg), ("max", F.max))
-        for c in ("domain_rating", "organic_traffic")
-    ]
-    return _component_report(info.groupBy("component").agg(
-        F.count("*").alias("size"), F.sum("out_links").alias("links"), best.alias("best"), *measures
-    ))
-
-
-def _component_report(grouped: DataFrame) -> DataFrame:
-    extra = [c for c in grouped.columns if c.startswith(("mean_", "max_"))]
     return grouped.select(
         "component",
         "size",
@@ -202,10 +180,24 @@ def _component_report(grouped: DataFrame) -> DataFrame:
         (F.col("links") == F.col("best.all_links")).alias("star"),
         F.col("best.domain").alias("centroid"),
         F.col("best.all_links").alias("centroid_links"),
-        *extra,
+        *grouped.columns[4:],
     )
 
 
+def component_stats(info: DataFrame) -> DataFrame:
+    """Per component: size, links, density, star, centroid and its links."""
+    return _component_report(info)
+
+
+def component_info(info: DataFrame) -> DataFrame:
+    """``component_stats`` with mean and maximum of rating and traffic, in the same aggregation."""
+    return _component_report(info, *[
+        pick(c).alias(f"{name}_{c}")
+        for name, pick in (("mean", F.avg), ("max", F.max))
+        for c in ("domain_rating", "organic_traffic")
+    ])
+
+
 def component(info: DataFrame, number: int) -> DataFrame:
     """Rows of one component."""
     return info.where(F.col("component") == number)
