@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from webweave.llm.bpe import encode_texts
 from webweave.llm.common import table
 from webweave.llm.exact_dedup import exact_duplicates
+from webweave.llm.near_vectors import near_vectors
 from webweave.llm.ngram_join import similar_documents
 from webweave.llm.packing import pack
 from webweave.llm.url_filters import Rule, judge_urls
@@ -119,3 +120,25 @@ links AS (
 )
 SELECT s.doc_id, len(shingles) AS n_shingles, (SELECT min(y) FROM reach r WHERE r.x = s.doc_id) AS component_id FROM s
 """)
+
+
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+_query(op1_near_vectors, """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN c ON c.x = e.vec_id
+""")
