@@ -13,6 +13,8 @@ from webweave.llm.exact_dedup import exact_duplicates
 from webweave.llm.near_vectors import near_vectors
 from webweave.llm.ngram_join import similar_documents
 from webweave.llm.packing import pack
+from webweave.llm.quality import quality_scores
+from webweave.llm.toxicity import toxicity
 from webweave.llm.url_filters import Rule, judge_urls
 from webweave.llm.warc import read_archives, write_archives
 
@@ -142,3 +144,15 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.x = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN c ON c.x = e.vec_id
 """)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_query(op6_quality)
+_query(op10_toxicity)
