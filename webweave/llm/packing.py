@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -11,13 +13,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from webweave.llm.common import Memory, id_and_text
 from webweave.session import materialize
 
 #: Words whose ids a worker remembers: a bound of memory only.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
     ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("slice", pa.int32()), ("nth", pa.int64()),
@@ -71,36 +73,84 @@ def plan_bins(counts: dict[int, int], size: int) -> list[tuple[int, dict[int, in
     return plan
 
 
-@cache
-def _tokenizer(path: str) -> tuple[Tokenizer, Memory]:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer, Memory(REMEMBERED)
-
+class WordTokenizer:
+    """Encodes texts word by word with a BPE of word ends that drops white space, and remembers words.
 
-# Characters on which Python's and the tokenizer's idea of white space may differ.
-_ODD_BLANKS = dict.fromkeys([0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0x180E, 0x200B, 0xFEFF])
+    The tokenizer lower-cases, drops white space and joins nothing across it, nor letters with full
+    stops and commas; so equal words between blanks have equal ids, and each is encoded once while
+    it is remembered. New words of letters only need no more than the model, which takes many at a
+    time: their ids end with a token of a word's end each.
+    """
 
+    def __init__(self, path: str) -> None:
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        model = json.loads(self.whole.to_str())["model"]
+        self.letters = Tokenizer(models.BPE(
+            vocab=model["vocab"], merges=[tuple(x) for x in model["merges"]],
+            end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0,
+        ))
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        ])
+        self.ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+        self.ends[[i for x, i in model["vocab"].items() if x.endswith(model["end_of_word_suffix"])]] = True
+        self.stops = {x: self._ids(x) for x in ".,"}
+        self.memory = Memory(REMEMBERED)
+
+    def _ids(self, text: str) -> bytes:
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit numbers."""
+        if _ODD_BLANKS.search(text):
+            return self._ids(text)
+        words = (text if _NOT_PLAIN.search(text) else text.lower()).split()
+        self._learn(self.memory.missing(set(words)))
+        return b"".join(map(self.memory.now.__getitem__, words))
+
+    def _learn(self, new: list[str]) -> None:
+        now, before = self.memory.now, self.memory.before
+        plain, stopped, others = set(), [], []
+        for word in new:
+            stem = word[:-1] if word[-1] in self.stops else word
+            if not stem.isalpha() or stem != stem.lower() or _NOT_PLAIN.search(stem):
+                others.append(word)
+            elif stem is word:
+                plain.add(word)
+            else:
+                stopped.append(word)
+                if stem not in now and stem not in before:
+                    plain.add(stem)
+        self._add(list(plain), lambda part: (ids := np.asarray(
+            self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4"
+        ), np.append(0, np.flatnonzero(self.ends[ids]) + 1)))
+        self._add(others, self._others)
+        now.update((x, (now.get(x[:-1]) or before[x[:-1]]) + self.stops[x[-1]]) for x in stopped)
+
+    def _others(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.whole.encode(part, is_pretokenized=True, add_special_tokens=False)
+        return np.asarray(found.ids, "<u4"), np.searchsorted(np.asarray(found.word_ids, np.int64), np.arange(len(part) + 1))
+
+    def _add(self, words: list[str], encode) -> None:
+        """Encode words, many at a time, by a function that returns all ids and where each word's begin."""
+        for i in range(0, len(words), 1_000):
+            part = words[i : i + 1_000]
+            ids, cuts = encode(part)
+            raw, cuts = ids.tobytes(), (4 * cuts).tolist()
+            self.memory.now.update((word, raw[a:b]) for word, a, b in zip(part, cuts, cuts[1:], strict=False))
+
+
+# What Python and the tokenizer may take for blanks differently; and what is neither a
+# plain blank nor of the scripts whose lower case and composition need no context.
+_ODD_BLANKS = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+_NOT_PLAIN = re.compile("[^\t-\r -~\xa1-\u012f\u0131-\u024f]")
 
-def token_bytes(text: str, path: str) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and joins nothing across it, so equal words between blanks have
-    equal ids; each is encoded once and remembered. Texts with characters that not everyone takes
-    for white space are encoded whole.
-    """
-    tokenizer, memory = _tokenizer(path)
-    if len(text) != len(text.translate(_ODD_BLANKS)):
-        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    words = text.split()
-    new = memory.missing(set(words))
-    for i in range(0, len(new), 1_000):
-        part = new[i : i + 1_000]
-        found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(found.ids, "<u4").tobytes()
-        cuts = (4 * np.searchsorted(np.asarray(found.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
-        memory.now.update((word, ids[a:b]) for word, a, b in zip(part, cuts, cuts[1:]))
-    return b"".join(map(memory.now.__getitem__, words))
+@cache
+def _tokenizer(path: str) -> WordTokenizer:
+    """One per worker and file."""
+    return WordTokenizer(path)
 
 
 def token_pieces(
@@ -115,11 +165,12 @@ def token_pieces(
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(path)
         here, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids = token_bytes(text.as_py(), path) + end
+                ids = tokenizer.encode(text.as_py()) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     n = len(part) // 4
