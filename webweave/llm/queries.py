@@ -14,6 +14,7 @@ from webweave.llm.near_vectors import near_vectors
 from webweave.llm.ngram_join import similar_documents
 from webweave.llm.packing import pack
 from webweave.llm.quality import quality_scores
+from webweave.llm.substrings import repeated_passages
 from webweave.llm.toxicity import toxicity
 from webweave.llm.url_filters import Rule, judge_urls
 from webweave.llm.warc import read_archives, write_archives
@@ -156,3 +157,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _query(op6_quality)
 _query(op10_toxicity)
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+_query(op3_substring_dedup)
