@@ -24,8 +24,17 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def plain_names(rows: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under names that clash with nothing, and the new name of each column."""
+    renamed = rows.toDF(*(f"d_{i}" for i in range(len(rows.columns))))
+    return renamed, dict(zip(rows.columns, renamed.columns))
+
+
+def with_ids(rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in the one column of ``ids``; a null id is one of its own."""
+    renamed, at = plain_names(rows)
+    kept = renamed.join(ids.toDF("_id"), F.col(at[id_col]).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.toDF(*rows.columns)
 
 
 class Memory:
@@ -42,3 +51,8 @@ class Memory:
         old = new & self.before.keys()
         self.now.update((key, self.before[key]) for key in old)
         return list(new - old)
+
+
+def partitions(spark: SparkSession) -> int:
+    """How many partitions a shuffle has in this session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webweave.llm.common import id_and_text
+from webweave.llm.common import id_and_text, plain_names
 from webweave.session import materialize
 
 #: A chunk ends at the first vowel and blank after 512 characters, at 4,096, or at the text's end.
@@ -71,11 +71,12 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stays = materialize(found.groupBy(F.col("doc_id").alias("_d"), F.col("text_sha256").alias("_s")).agg(
         F.max("kept").alias("_kept"), F.count("*").alias("_copies")
     ).where("_kept").select("_d", "_s", "_copies"))
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    renamed, at = plain_names(docs)
+    digest = F.sha2(F.coalesce(F.col(at[text_col]), F.lit("")), 256)
 
     def rows(of: DataFrame) -> DataFrame:
-        return docs.join(of, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (digest == F.col("_s")), "left_semi")
+        return renamed.join(of, F.col(at[id_col]).cast("long").eqNullSafe(F.col("_d")) & (digest == F.col("_s")), "left_semi")
 
     once, repeated = rows(stays.where("_copies = 1")), rows(stays.where("_copies > 1"))
-    single = repeated.withColumn("_digest", digest).dropDuplicates([id_col, "_digest"]).drop("_digest")
-    return once.unionByName(single)
+    single = repeated.withColumn("_s", digest).dropDuplicates([at[id_col], "_s"]).drop("_s")
+    return once.unionByName(single).toDF(*docs.columns)

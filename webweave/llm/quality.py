@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webweave.llm.common import plain_names
 from webweave.session import materialize
 
 FEATURES = (
@@ -151,8 +152,7 @@ def good_documents(
     """The rows of ``docs`` that ``quality_scores`` keeps, as they are; texts move only if sites are too many to broadcast."""
     model, sites, _ = fit_quality(docs, labels, text_col=text_col, host_col=host_col, path_col=path_col, **columns)
     site = sites.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "path_rate")
-    renamed = docs.toDF(*(f"d_{i}" for i in range(len(docs.columns))))  # no name can clash
-    at = {c: renamed.columns[i] for i, c in enumerate(docs.columns)}
+    renamed, at = plain_names(docs)
     here = [F.coalesce(F.col(at[c]).cast("string"), F.lit("")) for c in (host_col, path_col)]
     p = _probability(text_features(F.col(at[text_col])), model)
     joined = renamed.join(site, (here[0] == F.col("_h")) & (here[1] == F.col("_p")), "left")

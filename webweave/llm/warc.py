@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webweave.llm.common import partitions
 from webweave.session import checkpoint_dir, materialize
 
 # The seekable format's skippable frame, its footer's mark, and the record profile.
@@ -253,7 +254,8 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
 
         yield from _batches(rows(), payloads)
 
-    return index.select("file").distinct().mapInArrow(read, _RECORDS_DDL)
+    files = index.select("file").distinct().repartition(partitions(index.sparkSession), "file")
+    return files.mapInArrow(read, _RECORDS_DDL)
 
 
 def look_up(index: DataFrame, payloads: bool = True) -> DataFrame:
