@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from webweave.operators.graph import connected
 from webweave.session import materialize
 
-#: Independent codes, blocks per code, words per block, and how far below a vector's best direction it still enters.
-CODES, BLOCKS, WORDS, REACH = 3, 2, 256, 0.1
+#: Independent codes, blocks per code, words per block, and how far below a vector's best direction it still
+#: enters: in standard deviations of a direction's cosine between vectors that just link.
+CODES, BLOCKS, WORDS, REACH = 3, 2, 256, 3.0
 #: Bits of the sign sketch, and differing bits from which two single vectors are not compared.
 SKETCH, SKETCH_MOST = 128, 42
 #: Members of a core that are compared in one block: a bound of memory only.
@@ -47,6 +48,11 @@ def scores(unit: np.ndarray, number: int) -> np.ndarray:
     return np.einsum("nmd,mbd->nmb", parts, words) / np.sqrt(BLOCKS)
 
 
+def reach(best: np.ndarray, dim: int, least: float) -> np.ndarray:
+    """How far below its best cosine a vector is entered: a linked vector strays by this from where it is stored."""
+    return REACH * np.sqrt((1 - least**2) * np.maximum(1 - best**2, 0) / max(dim - 1, 1))
+
+
 def list_decode(score: np.ndarray, least: float) -> np.ndarray:
     """Numbers of all directions whose summed score is at least ``least``, block by block."""
     rest = np.append(np.cumsum(score.max(1)[::-1])[::-1], 0)
@@ -174,7 +180,7 @@ def _cores(rows: DataFrame, angle: float) -> tuple[DataFrame, DataFrame]:
     return materialize(members), cores
 
 
-def _entries(rows: DataFrame) -> DataFrame:
+def _entries(rows: DataFrame, least: float) -> DataFrame:
     """(key, stored, dim, entity, low, high): a row per direction that a vector exceeds; ``stored`` at its best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +193,7 @@ def _entries(rows: DataFrame) -> DataFrame:
                     score = scores(unit, number)
                     best = score.max(2).sum(1)
                     place = score.argmax(2) @ (WORDS ** np.arange(BLOCKS - 1, -1, -1))
-                    found = [list_decode(s, top - REACH) for s, top in zip(score, best)]
+                    found = [list_decode(s, low) for s, low in zip(score, best - reach(best, int(dim), least))]
                     row = np.repeat(np.arange(len(found)), [len(x) for x in found])
                     key = np.concatenate(found)
                     taken = part.select(["dim", "entity", "low", "high"]).take(pa.array(row))
@@ -228,7 +234,7 @@ def near_vectors(
     1. Groups around a mean direction, all within half the angle of it, are cores: their members
        link with each other without being compared, whatever their number.
     2. In each of several random product codes a vector is list-decoded to all directions that it
-       exceeds by its best one's cosine less ``REACH``, and is stored at its best one. Cores and
+       exceeds by its best one's cosine less a ``reach``, and is stored at its best one. Cores and
        single vectors that meet at a direction where one is stored are candidates. For a pair at
        cosine 0.95 in 64 dimensions a code misses one in 2,000, all three together one in 10^10;
        nearer pairs are missed less. Single vectors are first compared by sketch (128 sign bits; a
@@ -252,7 +258,7 @@ def near_vectors(
         })
     )
     fields = ["key", "stored", "dim", "entity", "low", "high"]
-    entries = _entries(placed.where("single")).unionByName(_entries(placed.where("NOT single")).select(fields).distinct())
+    entries = _entries(placed.where("single"), least).unionByName(_entries(placed.where("NOT single"), least).select(fields).distinct())
     entries = materialize(entries)
     asking = entries.select("key", "dim", F.col("entity").alias("_e"), F.col("low").alias("_l"), F.col("high").alias("_h"))
     differ = F.bit_count(F.col("low").bitwiseXOR(F.col("_l"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("_h")))
