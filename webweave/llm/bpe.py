@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from webweave.llm.common import Memory, id_and_text
 
 #: Bounds of memory only: pieces replayed together, and pieces whose ids a worker remembers.
-REPLAYED, REMEMBERED = 20_000, 250_000
+REPLAYED, REMEMBERED = 20_000, 600_000
+# Fixed value: the pattern whose pieces take up one blank before them and no other.
+_BLANK_LED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("decoded", pa.binary())])
 _DIGESTS = pa.schema([
     ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
@@ -37,12 +39,12 @@ class MergeReplay:
         self.ranks = ranks
         self.symbol = [ranks[bytes([b])] for b in range(256)]
         self.bytes = {str(rank): token for token, rank in ranks.items()}
-        self.merge: dict[tuple[int, int], int] = {}
+        self.merge: dict[int, int] = {}  # two symbols, the left one 20 bits up, and the rank they merge to
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.merge[left, right] = rank
+                    self.merge[left << 20 | right] = rank
 
     def encode(self, pieces: Sequence[bytes]) -> list[list[int]]:
         """The ids of each piece; a piece that is a token has that one."""
@@ -57,16 +59,17 @@ class MergeReplay:
         return b"".join(map(self.bytes.__getitem__, ids.split(" "))) if ids else b""
 
     def _replay(self, pieces: Sequence[bytes]) -> list[list[int]]:
-        symbol, merge = self.symbol, self.merge
+        symbol, merged = self.symbol, self.merge.get
         token: list[int] = []
         starts: list[int] = []
         for piece in pieces:
             starts.append(len(token))
-            token.extend(symbol[b] for b in piece)
+            token += [symbol[b] for b in piece]
             token.append(-1)  # no pair crosses the end of a piece
         n = len(token)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [merge.get(two, -1) for two in zip(token, token[1:])] + [-1]
+        pair = [merged(a << 20 | b, -1) for a, b in zip(token, token[1:])]
+        pair.append(-1)
         places: dict[int, list[int]] = {}
         for at, rank in enumerate(pair):
             if rank >= 0:
@@ -74,6 +77,16 @@ class MergeReplay:
         waiting = list(places)
         heapify(waiting)
         again: set[int] = set()
+
+        def enter(start: int, new: int, rank: int) -> None:
+            if new < rank:
+                again.add(bisect_right(starts, start) - 1)
+            if new in places:
+                places[new].append(start)
+            else:
+                places[new] = [start]
+                heappush(waiting, new)
+
         while waiting:
             rank = heappop(waiting)
             here = places.pop(rank)
@@ -83,28 +96,17 @@ class MergeReplay:
                     continue  # a merge before this one has taken a part of it
                 gone = after[at]
                 right = after[gone]
-                token[at], pair[gone], after[at], before[right] = rank, -1, right, at
+                token[at], token[gone], pair[gone], after[at], before[right] = rank, -2, -1, right, at
+                pair[at] = new = merged(rank << 20 | token[right], -1) if token[right] >= 0 else -1
+                if new >= 0:
+                    enter(at, new, rank)
                 left = before[at]
-                for start, two in ((left, (token[left], rank)), (at, (rank, token[right]))):
-                    if start < 0:
-                        continue
-                    pair[start] = new = merge.get(two, -1)
-                    if new < 0:
-                        continue
-                    if new < rank:
-                        again.add(bisect_right(starts, at) - 1)
-                    if new in places:
-                        places[new].append(start)
-                    else:
-                        places[new] = [start]
-                        heappush(waiting, new)
-        out = []
-        for start in starts:
-            ids, at = [], start
-            while token[at] >= 0:
-                ids.append(token[at])
-                at = after[at]
-            out.append(ids)
+                if left >= 0 and token[left] >= 0:
+                    pair[left] = new = merged(token[left] << 20 | rank, -1)
+                    if new >= 0:
+                        enter(left, new, rank)
+        ends = [*starts[1:], n]
+        out = [[t for t in token[a:b] if t >= 0] for a, b in zip(starts, ends)]
         for i in again:
             out[i] = self._alone(pieces[i])
         return out
@@ -112,7 +114,7 @@ class MergeReplay:
     def _alone(self, piece: bytes) -> list[int]:
         ids = [self.symbol[b] for b in piece]
         while True:
-            found = [(self.merge.get(two, -1), i) for i, two in enumerate(zip(ids, ids[1:]))]
+            found = [(self.merge.get(a << 20 | b, -1), i) for i, (a, b) in enumerate(zip(ids, ids[1:]))]
             rank, at = min((x for x in found if x[0] >= 0), default=(-1, -1))
             if rank < 0:
                 return ids
@@ -126,21 +128,42 @@ def replay_of(path: str) -> MergeReplay:
         return MergeReplay({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
 
 
-@cache
-def _memory(path: str) -> Memory:
-    """Pieces and their ids in decimal, kept by a worker from batch to batch."""
-    return Memory(REMEMBERED)
+# Fixed value: where the pieces of a text are not those of its blank-led words and its line ends.
+_IRREGULAR = regex.compile(r"[^\S \n]|\s\s|\0")
+
+
+class Encoder:
+    """Ids of texts in decimal; remembers words with the blank before them, and the pieces in words."""
 
+    def __init__(self, path: str, pattern: str) -> None:
+        self.replay, self.pattern = replay_of(path), regex.compile(pattern)
+        self.blank_led = pattern == _BLANK_LED
+        self.words, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED)
 
-def _encoded(texts: Sequence[str], path: str, pattern: regex.Pattern) -> list[str]:
-    """The ids of each text in decimal, joined by one space; new pieces are replayed together."""
-    memory, split = _memory(path), [pattern.findall(text) for text in texts]
-    new = memory.missing(set().union(*split))
-    for i in range(0, len(new), REPLAYED):
-        part = new[i : i + REPLAYED]
-        for piece, ids in zip(part, replay_of(path).encode([p.encode("utf-8", "replace") for p in part])):
-            memory.now[piece] = " ".join(map(str, ids))
-    return [" ".join(map(memory.now.__getitem__, pieces)) for pieces in split]
+    def _split(self, text: str) -> list[str]:
+        """Parts of a text that the pattern splits no differently than the text as a whole."""
+        if not self.blank_led or _IRREGULAR.search(text):
+            return self.pattern.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def encode(self, texts: Sequence[str]) -> list[str]:
+        """The ids of each text, joined by one space; the new pieces of all are replayed together."""
+        parts = [self._split(text) for text in texts]
+        new = {word: self.pattern.findall(word) for word in self.words.missing(set().union(*parts))}
+        pieces = self.pieces.missing(set().union(*new.values()))
+        for i in range(0, len(pieces), REPLAYED):
+            some = pieces[i : i + REPLAYED]
+            for piece, ids in zip(some, self.replay.encode([p.encode("utf-8", "replace") for p in some])):
+                self.pieces.now[piece] = " ".join(map(str, ids))
+        known = self.pieces.now.__getitem__
+        self.words.now.update((word, " ".join(map(known, own))) for word, own in new.items())
+        return [" ".join(filter(None, map(self.words.now.__getitem__, own))) for own in parts]
+
+
+@cache
+def _encoder(path: str, pattern: str) -> Encoder:
+    """One per worker, rank file and pattern."""
+    return Encoder(path, pattern)
 
 
 def _groups(batch: pa.RecordBatch, chars: int = 1_000_000) -> Iterator[tuple[list, list[str]]]:
@@ -171,13 +194,13 @@ def encode_texts(
     schema = _DIGESTS if digests else _SCHEMA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, replay = regex.compile(pattern), replay_of(path)
+        encoder = _encoder(path, pattern)
         for batch in batches:
             for doc_ids, texts in _groups(batch):
                 counts, ids, decoded = [], [], []
-                for line in _encoded(texts, path, split):
+                for line in encoder.encode(texts):
                     counts.append(line.count(" ") + 1 if line else 0)
-                    raw = replay.decode(line)
+                    raw = encoder.replay.decode(line)
                     ids.append(hashlib.sha256(line.encode()).hexdigest() if digests else line)
                     decoded.append(hashlib.sha256(raw).hexdigest() if digests else raw)
                 yield pa.RecordBatch.from_arrays(
