@@ -131,8 +131,8 @@ def test_real_clusters(spark):
         [("en", "en1"), ("en", "en-1"), ("zh-cn", "zh-cn3"), ("zh-cn", "zh-cn-1"), ("de", "de-clustering-failed"), ("x", None)],
         "lang string, cluster string",
     )
-    assert [r.cluster for r in reports.real_clusters(df).collect()] == ["en1"]
-    assert sorted(r.cluster for r in reports.real_clusters(df, strict=False).collect()) == ["en1", "zh-cn3"]
+    assert [r.cluster for r in reports.real_clusters(df, strict=True).collect()] == ["en1"]
+    assert sorted(r.cluster for r in reports.real_clusters(df).collect()) == ["en1", "zh-cn3"]
 
 
 def test_report_order(spark):

@@ -217,13 +217,14 @@ _INGESTED = f"""
            CASE WHEN page_id % 5 <> 0 THEN first_seen END AS last_check, NULL::TIMESTAMP AS day_lost,
            backlink_status IS NULL AS live,
            CASE WHEN link_anchor IS NULL THEN 'No anchor' ELSE 'Has anchor' END AS link_type,
-           TIMESTAMP '{LOAD_TIME}' AS last_updated, url_main
+           TIMESTAMP '{LOAD_TIME}' AS last_updated, url_main, (page_id % 90)::VARCHAR AS domain_rating,
+           (page_id % 8)::VARCHAR AS traffic
     FROM fx_backlinks"""
 
 
 @query("ingest_backlinks", _INGESTED)
 def ingest_backlinks(spark: SparkSession, sf: str) -> DataFrame:
-    state = ingest(_backlinks_export(spark, sf).drop("Domain Rating (desc)", "Traffic %"),
+    state = ingest(_backlinks_export(spark, sf),
                    _domains_export(spark, sf), _old_state(spark, sf), LOAD_TIME)
     return state.backlinks
 
@@ -234,7 +235,7 @@ def ingest_backlinks(spark: SparkSession, sf: str) -> DataFrame:
                TIMESTAMP '{LOAD_TIME}' AS last_updated FROM fx_domains""",
 )
 def ingest_domains(spark: SparkSession, sf: str) -> DataFrame:
-    state = ingest(_backlinks_export(spark, sf).drop("Domain Rating (desc)", "Traffic %"),
+    state = ingest(_backlinks_export(spark, sf),
                    _domains_export(spark, sf), _old_state(spark, sf), LOAD_TIME)
     return state.domains
 
@@ -256,7 +257,7 @@ _COUNTERS = """
         FROM ({_COUNTERS}) JOIN (SELECT domain, last_scrape_date FROM fx_scraped) s USING (domain)""",
 )
 def ingest_queue(spark: SparkSession, sf: str) -> DataFrame:
-    state = ingest(_backlinks_export(spark, sf).drop("Domain Rating (desc)", "Traffic %"),
+    state = ingest(_backlinks_export(spark, sf),
                    _domains_export(spark, sf), _old_state(spark, sf), LOAD_TIME)
     return state.scraped.select("domain", *crawl.COUNTERS, "first_seen", "last_scrape_date")
 
@@ -531,7 +532,7 @@ def apply_scrape(spark: SparkSession, sf: str) -> DataFrame:
 # --- languages --------------------------------------------------------------------------------
 
 _LANGUAGE_MODEL = """
-    words AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}]{1,64}')) AS word FROM documents),
+    words AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word FROM documents),
     counts AS (SELECT doc_id, word, count(*) AS n FROM words GROUP BY ALL),
     by_lang AS (SELECT lang, word, count(*) AS n FROM words GROUP BY ALL),
     vocabulary AS (SELECT DISTINCT word FROM words),
@@ -589,7 +590,7 @@ _CRAWLED = f"""
         FROM (SELECT domain, unnest(CASE WHEN len({_LINK_HOSTS}) > 0 THEN {_LINK_HOSTS} ELSE [NULL] END) AS host FROM read)
         LEFT JOIN fx_domains d ON regexp_extract(host, '[^.]+[.][^.]+[.][^.]+$', 0) = d.referring_domain)
       GROUP BY domain),
-    page_words AS (SELECT domain, unnest(regexp_extract_all(lower(main), '[\\p{{L}}]{{1,64}}')) AS word FROM read),
+    page_words AS (SELECT domain, unnest(regexp_extract_all(lower(main), '[\\p{{L}}]+')) AS word FROM read),
     page_counts AS (SELECT domain, word, count(*) AS n FROM page_words GROUP BY ALL),
     page_grams AS (
       SELECT word, substr(concat(' ', word, ' '), i, k) AS gram

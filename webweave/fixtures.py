@@ -128,7 +128,9 @@ def with_views(body: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet", spread)
+    """A given table; ``spread`` deals its rows out to all cores."""
+    cores = spark.sparkContext.defaultParallelism if spread else None
+    return read_table(spark, f"{sf_dir}/{name}.parquet", cores)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

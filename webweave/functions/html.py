@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import codecs
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,66 +25,67 @@ SCHEMA = T.StructType([
 ])
 
 _HREF = re.compile("https?://")
+_CHARSET = re.compile(rb"""<meta[^>]{0,200}?charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
+_MARKS = {codecs.BOM_UTF8: "utf-8", codecs.BOM_UTF16_LE: "utf-16-le", codecs.BOM_UTF16_BE: "utf-16-be"}
 
 
 class _PageReader(HTMLParser):
     """Collects title, visible text and link targets while walking a page once.
 
-    Every piece of text and every link is noted with the open regions it stands in; regions are the
-    ``main`` elements, the first ``body``, and that body's first ``header`` and ``footer``.
+    Each tag costs the same however many are open: per name it is counted how often it is open, and
+    regions (the first ``title`` and ``body``, that body's first ``header`` and ``footer``) by how
+    many are open. A ``main`` is a stretch of the visible pieces.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, object]] = []
+        self.depth: Counter[str] = Counter()
+        self.inside: Counter[str] = Counter()
         self.buffer: list[str] = []
         self.title: list[str] | None = None
-        self.title_done = False
-        self.mains: list[list[str]] = []
-        self.body: list[tuple[str, bool]] | None = None
+        self.pieces: list[tuple[str, bool]] = []  # visible text, and whether it counts for the body
+        self.mains: list[list[int]] = []  # first piece and the one after the last
+        self.has_body = False
         self.links: list[tuple[str, bool]] = []
-        self.cut = {"header": False, "footer": False}
-
-    def _inside(self, mark: object) -> bool:
-        return any(m == mark for _, m in self.open)
-
-    def _in_cut(self) -> bool:
-        return self._inside("cut")
+        self.taken: set[str] = set()
 
     def _flush(self) -> None:
         if not self.buffer:
             return
         text = "".join(self.buffer)
         self.buffer.clear()
-        if self._inside("title"):
+        if self.inside["title"]:
             self.title.append(text)
         parent = self.open[-1][0] if self.open else "[document]"
-        if parent in HIDDEN_PARENTS:
-            return
-        for _, mark in self.open:
-            if isinstance(mark, int):
-                self.mains[mark].append(text)
-        if self._inside("body"):
-            self.body.append((text, self._in_cut()))
+        if parent not in HIDDEN_PARENTS:
+            self.pieces.append((text, self.inside["body"] > 0 and not self.inside["cut"]))
 
-    def _mark(self, tag: str) -> object:
+    def _mark(self, tag: str) -> str | int | None:
         if tag == "title" and self.title is None:
             self.title = []
             return "title"
         if tag == "main":
-            self.mains.append([])
+            self.mains.append([len(self.pieces), -1])
             return len(self.mains) - 1
-        if tag == "body" and self.body is None:
-            self.body = []
+        if tag == "body" and not self.has_body:
+            self.has_body = True
             return "body"
-        if tag in self.cut and not self.cut[tag] and self._inside("body") and not self._lost(tag):
-            self.cut[tag] = True
-            return "cut"
+        if tag in ("header", "footer") and tag not in self.taken and self.inside["body"]:
+            # a footer inside the removed header is gone already; a header inside a footer is not
+            if tag == "header" or not self.inside["header"]:
+                self.taken.add(tag)
+                return tag
         return None
 
-    def _lost(self, tag: str) -> bool:
-        # a footer inside the removed header is gone already; a header inside a footer is not
-        return tag == "footer" and any(n == "header" and m == "cut" for n, m in self.open)
+    def _close(self) -> None:
+        tag, mark = self.open.pop()
+        self.depth[tag] -= 1
+        if isinstance(mark, int):
+            self.mains[mark][1] = len(self.pieces)
+        elif mark:
+            self.inside[mark] -= 1
+            self.inside["cut"] -= mark in ("header", "footer")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self._flush()
@@ -90,9 +93,13 @@ class _PageReader(HTMLParser):
         if tag == "a":
             href = dict(attrs).get("href")
             if href and _HREF.match(href):
-                self.links.append((href, self._in_cut()))
+                self.links.append((href, self.inside["cut"] > 0))
         if tag not in VOID_ELEMENTS:
             self.open.append((tag, mark))
+            self.depth[tag] += 1
+            if isinstance(mark, str):
+                self.inside[mark] += 1
+                self.inside["cut"] += mark in ("header", "footer")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -101,10 +108,17 @@ class _PageReader(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self._flush()
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth][0] == tag:
-                del self.open[depth:]
-                return
+        if not self.depth[tag]:
+            return
+        while self.open[-1][0] != tag:
+            self._close()
+        self._close()
+
+    def finish(self) -> None:
+        self.close()
+        self._flush()
+        while self.open:
+            self._close()
 
     def handle_data(self, data: str) -> None:
         self.buffer.append(data)
@@ -128,25 +142,40 @@ def read_page(page: str) -> tuple[str | None, str | None, list[str]]:
     """Title, main text and http link targets of one page."""
     reader = _PageReader()
     reader.feed(page)
-    reader.close()
-    reader._flush()
+    reader.finish()
     title = None if reader.title is None else re.sub(r"\s+", " ", "".join(reader.title))
     if reader.mains:
-        return title, " ".join(map(_visible, reader.mains)), [href for href, _ in reader.links]
-    main = None if reader.body is None else _visible([t for t, cut in reader.body if not cut])
+        mains = (_visible([text for text, _ in reader.pieces[a:b]]) for a, b in reader.mains)
+        return title, " ".join(mains), [href for href, _ in reader.links]
+    main = _visible([text for text, counts in reader.pieces if counts]) if reader.has_body else None
     return title, main, [href for href, cut in reader.links if not cut]
 
 
+def decode_page(page: bytes) -> str:
+    """A page's text by its byte order mark, else the charset it declares, else UTF-8, else Windows-1252."""
+    for mark, name in _MARKS.items():
+        if page.startswith(mark):
+            return page[len(mark):].decode(name)
+    declared = _CHARSET.search(page[:4096])
+    names = [declared[1].decode("ascii")] if declared else []
+    for name in [*names, "utf-8"]:
+        try:
+            return page.decode(name)
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return page.decode("cp1252")
+
+
 @F.pandas_udf(SCHEMA)
 def extract_page(pages: pd.Series) -> pd.DataFrame:
-    """Title, main text, link targets and error of each page; null pages stay null."""
+    """Title, main text, link targets and error of each page, given as bytes; null pages stay null."""
     rows = []
     for page in pages:
         if page is None:
             rows.append((None, None, None, None))
             continue
         try:
-            rows.append((*read_page(page), None))
+            rows.append((*read_page(decode_page(bytes(page))), None))
         except Exception as problem:  # a broken page becomes a row with its error text
             rows.append((None, None, None, str(problem)))
     return pd.DataFrame(rows, columns=["title", "main", "hrefs", "error"])

@@ -95,13 +95,15 @@ def pick_response(tried: DataFrame, responses: DataFrame, mode: str = "last") ->
     ``responses`` holds captured fetches (url, status_code, request_error, html, fetched_at).
     ``mode="last"`` takes the last attempt that did not fail, ``"first_ok"`` the first with code
     200; ``url`` and ``html`` are null unless that response has code 200. The choice is made on the
-    small columns, so only chosen bodies are joined in.
+    small columns, so only chosen bodies are joined in. Captures are a log: of several of one URL
+    the latest counts, and of those at one time the one with the largest code and error.
     """
     if mode not in ("last", "first_ok"):
         raise ValueError("mode must be 'last' or 'first_ok'")
-    attempts = tried.join(
-        responses.select("url", "status_code", "request_error", "fetched_at"), "url"
-    )
+    latest = responses.groupBy("url").agg(
+        F.max(F.struct("fetched_at", "status_code", "request_error")).alias("_last")
+    ).select("url", "_last.*")
+    attempts = tried.join(latest, "url")
     answered = F.col("request_error").isNull()
     if mode == "first_ok":
         answered = answered & (F.col("status_code") == 200)
@@ -116,7 +118,12 @@ def pick_response(tried: DataFrame, responses: DataFrame, mode: str = "last") ->
             F.when(F.col("status_code") == 200, F.col("url")), F.when(answered, F.col("pos"))
         ).alias("url"),
     )
-    return outcome.join(responses.select("url", "html"), "url", "left")
+    chosen = outcome.where("url IS NOT NULL").select("url").distinct()
+    bodies = (
+        responses.select("url", "fetched_at", "status_code", "request_error", "html").join(chosen, "url", "left_semi")
+        .groupBy("url").agg(F.max_by("html", F.struct("fetched_at", "status_code", "request_error", "html")).alias("html"))
+    )
+    return outcome.join(bodies, "url", "left")
 
 
 def own_links_removed(hrefs: Column, domain: Column) -> Column:
@@ -132,7 +139,7 @@ def main_hosts(links: Column) -> Column:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Add title, main, links, links_main_domains and parse_error to (domain, html, …) rows."""
     return (
-        pages.withColumn("_page", extract_page(F.col("html").cast("string")))
+        pages.withColumn("_page", extract_page(F.col("html").cast("binary")))
         .withColumns(
             {
                 "title": F.col("_page.title"),

@@ -16,19 +16,40 @@ def check_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | null_part)
 
 
+def latest_rows(rows: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """One row per key: the one that is last by ``by``, and of ties by all other columns.
+
+    Rows with a null in the key are left out; see ``without_key``.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    order = F.struct(*by, *[c for c in rest if c not in by])
+    last = rows.dropna(subset=list(keys)).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.`{c}`").alias(c) for c in rest]).select(*rows.columns)
+
+
+def without_key(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows that cannot be stored, as a part of their key is null."""
+    return rows.where(" OR ".join(f"`{k}` IS NULL" for k in keys))
+
+
 def upsert(
     target: DataFrame,
     updates: DataFrame,
     keys: Sequence[str],
     update_cols: Sequence[str] | str | None = None,
+    add_columns: bool = False,
 ) -> DataFrame:
     """Target after the updates: matched rows take ``update_cols``, unmatched updates are added.
 
     ``update_cols`` is a list, ``"all"`` or None (insert only). Both sides must be unique on the
     keys (see ``check_keys``); a null in an update overwrites. Columns that only the target has are
-    null for added rows.
+    null for added rows. ``add_columns`` takes up columns that only the updates have; without it
+    they raise.
     """
     keys = list(keys)
+    if add_columns:
+        new = [f for f in updates.schema if f.name not in target.columns]
+        target = target.withColumns({f.name: F.lit(None).cast(f.dataType) for f in new})
     extra = [c for c in updates.columns if c not in target.columns]
     if extra:
         raise ValueError(f"updates have columns unknown to the target: {extra}")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from webweave.operators.ordered import group_medians
 
 
-def real_clusters(df: DataFrame, strict: bool = True) -> DataFrame:
+def real_clusters(df: DataFrame, strict: bool = False) -> DataFrame:
     """Rows of real clusters.
 
     ``strict`` drops every label with a hyphen, which also loses languages such as ``zh-cn``;
@@ -25,7 +25,7 @@ def real_clusters(df: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def cluster_domains(
-    clusters: DataFrame, scraped: DataFrame, domains: DataFrame, strict: bool = True
+    clusters: DataFrame, scraped: DataFrame, domains: DataFrame, strict: bool = False
 ) -> DataFrame:
     """Domains of real clusters with their crawl and export measures."""
     return (
@@ -40,7 +40,7 @@ def cluster_domains(
 
 
 def cluster_backlinks(
-    clusters: DataFrame, matches: DataFrame, backlinks: DataFrame, strict: bool = True
+    clusters: DataFrame, matches: DataFrame, backlinks: DataFrame, strict: bool = False
 ) -> DataFrame:
     """Backlinks of real clusters; a cluster domain without backlinks keeps one row of nulls.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from webweave.functions import columns as C
 from webweave.functions.urls import clean_link, split_url
 from webweave.operators.crawl import build_crawl_queue
-from webweave.operators.keys import upsert
+from webweave.operators.keys import latest_rows, upsert, without_key
 from webweave.operators.matching import build_domain_matches
 from webweave.schemas import BACKLINK_KEYS, DOMAIN_KEYS, SCRAPED_KEYS, URL_MATCH_KEYS
 from webweave.sources.tables import replace_table
@@ -24,16 +24,25 @@ TABLE_KEYS = {
 
 BACKLINK_TIMES = ["first_seen", "last_check", "day_lost"]
 DOMAIN_TIMES = ["first_seen"]
+# of several export rows with one key the last by these counts
+BACKLINK_ORDER = ["last_check", "link_anchor"]
+DOMAIN_ORDER = ["first_seen"]
 
 
 @dataclass
 class State:
-    """The stored tables of the ingest and crawl."""
+    """The stored tables of the ingest and crawl.
+
+    ``rejected_backlinks`` and ``rejected_domains`` are the cleaned rows of the last upload that have
+    no key, for instance because their first_seen is no time.
+    """
 
     backlinks: DataFrame
     domains: DataFrame
     url_matches: DataFrame
     scraped: DataFrame
+    rejected_backlinks: DataFrame | None = None
+    rejected_domains: DataFrame | None = None
 
 
 def _named(export: DataFrame) -> DataFrame:
@@ -89,14 +98,21 @@ def ingest(
     ``types`` limits the crawl queue to backlinks of these link types; None takes all. Each table
     goes through ``store(name, table)`` as soon as it is known and the next ones are computed from
     what that returns, so with ``stored_in`` nothing is computed twice. The default stores nothing.
+
+    Export columns that the state lacks are added to it. Of export rows with one key the last counts,
+    so a repeated upload changes nothing; rows without a key are returned as rejected.
     """
-    rows = clean_backlinks(backlinks_export, load_time, link_rules, escape_links)
-    backlinks = store("backlinks", upsert(state.backlinks, rows, BACKLINK_KEYS, "all"))
+    links = clean_backlinks(backlinks_export, load_time, link_rules, escape_links)
+    last = latest_rows(links, BACKLINK_KEYS, BACKLINK_ORDER)
+    backlinks = store("backlinks", upsert(state.backlinks, last, BACKLINK_KEYS, "all", add_columns=True))
     rows = clean_domains(domains_export, load_time)
-    domains = store("domains", upsert(state.domains, rows, DOMAIN_KEYS, "all"))
+    last = latest_rows(rows, DOMAIN_KEYS, DOMAIN_ORDER)
+    domains = store("domains", upsert(state.domains, last, DOMAIN_KEYS, "all", add_columns=True))
     matches = store("url_matches", build_domain_matches(backlinks, domains))
     scraped = store("scraped", build_crawl_queue(state.scraped, backlinks, matches, types))
-    return State(backlinks, domains, matches, scraped)
+    return State(
+        backlinks, domains, matches, scraped, without_key(links, BACKLINK_KEYS), without_key(rows, DOMAIN_KEYS)
+    )
 
 
 def stored_in(folder: str) -> Callable[[str, DataFrame], DataFrame]:

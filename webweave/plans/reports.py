@@ -23,7 +23,7 @@ class ClusterReport:
         domains: DataFrame,
         threshold: datetime | str | None = None,
         mode: str = "min",
-        strict: bool = True,
+        strict: bool = False,
     ) -> None:
         self._tables = (clusters, scraped, matches, backlinks, domains)
         self._options = {"mode": mode, "strict": strict}

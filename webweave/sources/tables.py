@@ -15,17 +15,13 @@ TEXT_COLUMNS = ("html", "main")
 LIST_COLUMNS = ("links", "links_main_domains", "links_known_domains")
 
 
-def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """Read a stored table.
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Read a stored table, dealt out to so many partitions if a number is given.
 
-    ``spread`` is for CPU-heavy work on a table whose few files would leave most cores idle: its
-    rows are dealt out to all of them. Tables with enough splits are read as they are.
+    The number is for CPU-heavy work on a table whose few files would leave most cores idle.
     """
     df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    return df if partitions is None else df.repartition(partitions)
 
 
 def sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:

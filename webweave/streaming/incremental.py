@@ -5,19 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from webweave.operators.keys import upsert
-from webweave.plans.ingest import clean_backlinks
+from webweave.operators.keys import latest_rows, upsert
+from webweave.plans.ingest import BACKLINK_ORDER, clean_backlinks
 from webweave.schemas import BACKLINK_KEYS
-from webweave.sources.export import ENCODING, SEPARATOR
+from webweave.sources.export import ENCODING, SEPARATOR, without_returns
 
 
 def export_stream(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """New export files in a folder, read line by line like ``read_export``."""
-    return (
+    return without_returns(
         spark.readStream.schema(schema)
         .options(sep=SEPARATOR, header=True, quote='"', escape='"', encoding=ENCODING, lineSep="\n")
         .csv(folder)
@@ -34,18 +33,14 @@ def stream_backlinks(
     """Upsert every batch of export rows into the stored backlinks.
 
     The upsert is idempotent, so a batch that is repeated after a failure leaves the same table.
-    Within a batch the last of several rows with one key, by check time, is kept.
+    Within a batch the last of several rows with one key, by check time, is kept. Further export
+    columns pass into the state.
     """
 
     def upload(batch: DataFrame, number: int) -> None:
         rows = clean_backlinks(batch, load_time(number))
-        latest = rows.groupBy(*BACKLINK_KEYS).agg(
-            F.max_by(F.struct(*[c for c in rows.columns if c not in BACKLINK_KEYS]),
-                     F.struct("last_check", "link_anchor")).alias("r")
-        ).select(*BACKLINK_KEYS, "r.*")
-        state = read_state()
-        known = [c for c in latest.columns if c in state.columns]
-        write_state(upsert(state, latest.select(*known), BACKLINK_KEYS, "all"))
+        latest = latest_rows(rows, BACKLINK_KEYS, BACKLINK_ORDER)
+        write_state(upsert(read_state(), latest, BACKLINK_KEYS, "all", add_columns=True))
 
     return (
         exports.writeStream.foreachBatch(upload)
