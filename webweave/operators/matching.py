@@ -19,14 +19,13 @@ def match_domain(hosts: DataFrame, domains: DataFrame, host: str, domain: str) -
     the left side only, which adaptive execution can split.
     """
     known = domains.select(F.col(domain).alias("suffix")).where("suffix IS NOT NULL").distinct()
-    tried = hosts.select(F.col(host).alias(host)).distinct().select(
-        host, F.posexplode_outer(host_suffixes(F.col(host))).alias("pos", "suffix")
-    )
-    hits = tried.join(known.withColumn("known", F.lit(True)), "suffix", "left")
-    return hits.groupBy(host).agg(
-        F.min_by("suffix", F.when(F.col("known"), F.col("pos"))).alias("matching_domain")
-    ).withColumn(
-        "match_error", F.when(F.col(host).isNull(), F.lit(MISSING_HOST))
+    distinct = hosts.select(F.col(host).alias(host)).distinct()
+    suffixes = host_suffixes(F.col(host))
+    tried = distinct.select(host, F.posexplode(suffixes).alias("pos", "suffix"))
+    longest = tried.join(known, "suffix").groupBy(host).agg(F.min("pos").alias("pos"))
+    return distinct.join(longest, host, "left").select(
+        host, F.when(F.col("pos").isNotNull(), F.get(suffixes, F.col("pos"))).alias("matching_domain"),
+        F.when(F.col(host).isNull(), F.lit(MISSING_HOST)).alias("match_error"),
     )
 
 
