@@ -18,6 +18,7 @@ from webweave.operators.keys import check_keys, upsert
 from webweave.plans.crawl import crawl as run_crawl
 from webweave.plans.ingest import State, ingest
 from webweave.plans.recluster import recluster as run_recluster
+from webweave.plans.reports import ClusterReport
 from webweave.schemas import BACKLINKS, DOMAINS, SCRAPED_DOMAINS, URL_MATCHES
 from webweave.session import materialize
 from webweave.sources import tables
@@ -877,9 +878,7 @@ def flag_new(spark: SparkSession, sf: str) -> DataFrame:
     return _with_new(spark, sf).select("domain", "new")
 
 
-@query(
-    "cluster_info",
-    f"""SELECT cluster, substr(cluster, 1, 2) AS language, count(*) AS num_domains,
+_CLUSTER_INFO = """SELECT cluster, substr(cluster, 1, 2) AS language, count(*) AS num_domains,
                count(*) FILTER (new) AS num_new_domains,
                coalesce(sum(live_backlinks), 0)::BIGINT AS total_live_backlinks,
                coalesce(sum(total_backlinks), 0)::BIGINT AS total_backlinks,
@@ -888,13 +887,47 @@ def flag_new(spark: SparkSession, sf: str) -> DataFrame:
                median(total_backlinks) AS mean_backlinks, median(domain_rating) AS mean_domain_rating,
                median(organic_traffic) AS mean_organic_traffic,
                max(live_backlinks) AS max_live_backlinks, max(f.total_backlinks) AS max_backlinks,
-               max(domain_rating) AS max_domain_rating, max(organic_traffic) AS max_organic_traffic
-        FROM ({_NEW}) f GROUP BY cluster""",
+               max(domain_rating) AS max_domain_rating, max(organic_traffic) AS max_organic_traffic"""
+
+
+@query(
+    "cluster_info",
+    f"{_CLUSTER_INFO} FROM ({_NEW}) f GROUP BY cluster",
 )
 def cluster_info(spark: SparkSession, sf: str) -> DataFrame:
     return reports.cluster_info(_with_new(spark, sf))
 
 
+# the same clusters with a hyphen in one language's code
+_HYPHENATED = f"""
+    SELECT domain, CASE WHEN lang = 'fr' THEN 'zh-cn' ELSE lang END AS lang,
+           CASE WHEN lang = 'fr' THEN concat('zh-cn', substr(cluster, 3)) ELSE cluster END AS cluster, mean_distance
+    FROM ({_HOST_CLUSTERS}) h"""
+_REPORTED = f"""
+    SELECT c.*, s.live_backlinks::BIGINT AS live_backlinks, s.total_backlinks::BIGINT AS total_backlinks,
+           d.domain_rating, d.organic_traffic, d.last_updated
+    FROM ({_HYPHENATED}) c LEFT JOIN fx_scraped s ON c.domain = s.domain
+         LEFT JOIN fx_domains d ON c.domain = d.referring_domain
+    WHERE cluster <> concat(lang, '-1') AND cluster <> concat(lang, '-clustering-failed')"""
+
+
+@query(
+    "cluster_report",
+    f"""WITH m AS ({_REPORTED}),
+        f AS (SELECT *, coalesce(last_updated >= (SELECT max(last_updated) FROM m), false) AS new FROM m)
+        {_CLUSTER_INFO} FROM f GROUP BY cluster""",
+)
+def cluster_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report object over clusters of which some have a hyphen in their language."""
+    _host_clusters(spark, sf)
+    backlinks = view(spark, sf, "fx_backlinks").withColumn("last_updated", F.lit(LOAD_TIME).cast("timestamp"))
+    report = ClusterReport(
+        spark.sql(_HYPHENATED), view(spark, sf, "fx_scraped"), spark.createDataFrame([], URL_MATCHES), backlinks,
+        view(spark, sf, "fx_domains"), mode="last_upload",
+    )
+    return report.cluster_info
+
+
 @query("get_cluster", f"SELECT domain, cluster, new FROM ({_NEW}) WHERE cluster = 'en3'")
 def get_cluster(spark: SparkSession, sf: str) -> DataFrame:
     return reports.get_cluster(_with_new(spark, sf), "en3").select("domain", "cluster", "new")

@@ -62,11 +62,15 @@ class NetworkReport:
         scraped: DataFrame,
         link_type: str = "all_known_domains",
         removed: tuple[str, ...] = (),
+        known_edges: DataFrame | None = None,
     ) -> None:
+        """``known_edges``: the stored edges of this link type before any removal, if there are such."""
         self._tables = (domains, scraped)
         self.link_type, self.removed_nodes = link_type, removed
         self.network_domains = graph.network_domains(domains, scraped)
-        edges = materialize(graph.build_edges(self.network_domains, link_type))
+        if known_edges is None:
+            known_edges = materialize(graph.build_edges(self.network_domains, link_type))
+        self._all_edges = edges = known_edges
         nodes = graph.edge_nodes(edges)
         if removed:
             names = domains.sparkSession.createDataFrame([(n,) for n in removed], "domain string")
@@ -82,10 +86,10 @@ class NetworkReport:
         return graph.component_info(self.domain_info).orderBy("component")
 
     def remove_node(self, node: str) -> NetworkReport:
-        return NetworkReport(*self._tables, self.link_type, (*self.removed_nodes, node))
+        return NetworkReport(*self._tables, self.link_type, (*self.removed_nodes, node), self._all_edges)
 
     def reset_network_graph(self) -> NetworkReport:
-        return NetworkReport(*self._tables, self.link_type)
+        return NetworkReport(*self._tables, self.link_type, known_edges=self._all_edges)
 
     def set_link_type(self, link_type: str) -> NetworkReport:
         return NetworkReport(*self._tables, link_type)
