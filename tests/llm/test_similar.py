@@ -79,7 +79,8 @@ def test_divide_skip_and_probe():
         lists = [sorted(rng.sample(range(30), rng.randint(0, 20))) for _ in range(rng.randint(0, 6))]
         need = rng.randint(1, 4)
         counts = Counter(x for own in lists for x in own)
-        assert list(divide_skip(lists, need)) == sorted((x, n) for x, n in counts.items() if n >= need)
+        found = divide_skip([np.array(x, np.int64) for x in lists], need)
+        assert list(zip(*(x.tolist() for x in found))) == sorted((x, n) for x, n in counts.items() if n >= need)
     a, b = np.unique(np.array([rng.randrange(500) for _ in range(300)], np.uint64)), np.unique(np.array([rng.randrange(500) for _ in range(300)], np.uint64))
     common = len(set(a.tolist()) & set(b.tolist()))
     assert probe(a, b, 0, 0) == common and probe(a, b, 0, common) == common and probe(a, b, 0, 400) < 400

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webweave.session import materialize
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -56,3 +58,14 @@ class Memory:
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle has in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``materialize``, and a hint to the driver's JVM that the shuffles behind the table are done with.
+
+    Spark deletes shuffle files once the driver's garbage collector has found their plans unused; for
+    a chain of large shuffles that must not wait until the driver runs short of memory by chance.
+    """
+    table = materialize(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return table
