@@ -105,6 +105,13 @@ def test_words_and_shingles():
     assert len(set(seen.values())) == len(seen)
 
 
+@pytest.mark.parametrize("n", range(6))
+def test_tables_of_one_short_text(docs_of, n):
+    docs = docs_of([(1, " ".join("abcde"[:n]))]).coalesce(1)
+    assert [tuple(x) for x in similar_documents(docs).select("doc_id", "n_shingles", "component_id").collect()] == [(1, min(n, 1), 1)]
+    assert repeated_passages(docs).count() == 0
+
+
 def _edited(rng, text, share):
     return " ".join(w if rng.random() > share else f"w{rng.randrange(10**9)}" for w in text.split())
 

@@ -57,7 +57,7 @@ class Words:
         """
         n = len(self.hashes)
         whole = np.zeros(max(0, n - size + 1), np.uint64)
-        for k in range(size):
+        for k in range(size if n >= size else 0):
             whole += self.hashes[k : n - size + 1 + k] * _MULTIPLIERS[k]
         whole = mix(whole)
         for a, b in zip(self.bounds, self.bounds[1:]):
