@@ -14,7 +14,7 @@ from webweave.llm import near_vectors as vectors_module
 from webweave.llm.near_vectors import list_decode, near_vectors, scores
 from webweave.llm.ngram_join import Threshold, divide_skip, probe, similar_documents
 from webweave.llm.shingles import Words
-from webweave.llm.substrings import alike, compact_windows, cut, repeated_passages, without_repeats
+from webweave.llm.substrings import alike, compact_windows, cut, hopeful, repeated_passages, without_repeats
 
 
 def test_list_decode_finds_every_direction_that_exceeds():
@@ -195,6 +195,36 @@ def test_passages(docs_of, corpus):
         assert (texts[i] or "").split() == left if left or i not in found else i not in texts
 
 
+def test_hopeful_spans_hold_every_stretch():
+    rng = np.random.default_rng(10)
+    for _ in range(30):
+        own = rng.integers(0, 60, 50).astype(np.uint64)
+        shared = np.unique(rng.choice(own, 25))
+        inside = {k for a, b in hopeful(own, shared, 8, 75) for k in range(a, b)}
+        for i in range(50):
+            for j in range(i + 8, 51):
+                part = set(own[i:j].tolist())
+                if 100 * len(part & set(shared.tolist())) >= 75 * len(part):
+                    assert inside >= set(range(i, j))
+
+
+def _around_passages(prose, texts):
+    """Documents that hold the texts between prose of their own."""
+    return [(i, f"{prose(10**6 + i, 60)} {text} {prose(2 * 10**6 + i, 60)}") for i, text in enumerate(texts)]
+
+
+def _sources(rows):
+    return {(r.doc_id, r.source_id) for r in repeated_passages(rows).select("doc_id", "source_id").collect()}
+
+
+def test_passages_of_fifty_words_at_the_threshold(docs_of, prose):
+    texts = []
+    for k in range(100):  # two words changed: 40 of 52 shingles
+        words = prose(30_000 + k, 50).split()
+        texts += [" ".join(words), " ".join(f"y{k}" if i in (24, 25) else w for i, w in enumerate(words))]
+    assert _sources(docs_of(_around_passages(prose, texts))) == {(i + 1, i) for i in range(0, 200, 2)}
+
+
 def test_cut_keeps_the_rest():
     assert cut("aé b\nc  d e", [(1, 3), (2, 4)]) == "aé  e"
     assert cut("a b", [(0, 2)]) == "" and cut("a b", []) == "a b" and cut("a b", [(1, 9)]) == "a"
