@@ -195,6 +195,15 @@ def test_passages(docs_of, corpus):
         assert (texts[i] or "").split() == left if left or i not in found else i not in texts
 
 
+def test_alike_allows_what_the_similarity_allows():
+    rng = np.random.default_rng(9)
+    source, more = rng.integers(0, 2**60, 64).astype(np.uint64), rng.integers(0, 2**60, 40).astype(np.uint64)
+    assert alike(np.concatenate([source[:30], more[:16], source[34:]]), source, 46, 75) == [(0, 75, 0, 63, 0.75)]
+    assert alike(np.concatenate([source[:30], more[:17], source[34:]]), source, 46, 75) == []
+    ((first, last, *_),) = alike(np.concatenate([more[:2], source[:43], more[2:9]]), source, 46, 75)
+    assert last - first + 1 == 46
+
+
 def test_hopeful_spans_hold_every_stretch():
     rng = np.random.default_rng(10)
     for _ in range(30):
@@ -217,6 +226,14 @@ def _sources(rows):
     return {(r.doc_id, r.source_id) for r in repeated_passages(rows).select("doc_id", "source_id").collect()}
 
 
+def test_passages_with_an_inserted_sentence(docs_of, prose):
+    texts = []
+    for k in range(5):  # 60 of 80 shingles
+        words = prose(40_000 + k, 68).split()
+        texts += [" ".join(words), " ".join([*words[:34], *prose(41_000 + k, 12).split(), *words[34:]])]
+    assert _sources(docs_of(_around_passages(prose, texts))) == {(i + 1, i) for i in range(0, 10, 2)}
+
+
 def test_passages_of_fifty_words_at_the_threshold(docs_of, prose):
     texts = []
     for k in range(100):  # two words changed: 40 of 52 shingles
