@@ -242,6 +242,17 @@ def test_passages_of_fifty_words_at_the_threshold(docs_of, prose):
     assert _sources(docs_of(_around_passages(prose, texts))) == {(i + 1, i) for i in range(0, 200, 2)}
 
 
+def test_passages_that_only_later_documents_have(docs_of, prose):
+    lines = [prose(10_000 + k, 12) for k in range(8)]
+    # (a) frequent lines in frequent order, owned by documents without the passage
+    texts, wanted = [*(f"{a} {b}" for a, b in zip(lines, lines[1:])), *[" ".join(lines)] * 2], {(8, 7)}
+    for k in range(12):  # (b) an earlier variant below the similarity
+        words = prose(20_000 + k, 60).split()
+        wanted.add((len(texts) + 2, len(texts) + 1))
+        texts += [" ".join(f"x{k}" if i in (12, 24, 36, 48) else w for i, w in enumerate(words)), *[" ".join(words)] * 2]
+    assert wanted <= _sources(docs_of(_around_passages(prose, texts)))
+
+
 def test_cut_keeps_the_rest():
     assert cut("aé b\nc  d e", [(1, 3), (2, 4)]) == "aé  e"
     assert cut("a b", [(0, 2)]) == "" and cut("a b", []) == "a b" and cut("a b", [(1, 9)]) == "a"
