@@ -1,13 +1,9 @@
 from __future__ import annotations
 
 import random
-import sys
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent))
-
 # columns whose names the operators use inside
 CLASH = {"_d": 1, "_id": 2, "_text": "x", "digest": "y", "token": 3, "n": 4, "root": 5, "d_0": 6, "_h": 7, "_spans": 8}
 

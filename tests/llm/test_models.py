@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import common_subsequences
+from llm_brute import common_subsequences
 
 import corpus_pipeline
 from webweave.llm import quality, toxicity

@@ -8,7 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import cosine_links, jaccard_components, repeated_documents, shingles
+from llm_brute import cosine_links, jaccard_components, repeated_documents, shingles
 
 from webweave.llm import near_vectors as vectors_module
 from webweave.llm.near_vectors import list_decode, near_vectors, scores
