@@ -14,6 +14,7 @@ from webweave.llm.near_vectors import near_vectors
 from webweave.llm.ngram_join import similar_documents
 from webweave.llm.packing import pack
 from webweave.llm.quality import quality_scores
+from webweave.llm.square_packing import pack_online
 from webweave.llm.substrings import repeated_passages
 from webweave.llm.toxicity import toxicity
 from webweave.llm.url_filters import Rule, judge_urls
@@ -164,3 +165,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op3_substring_dedup)
+
+
+def op13_square_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_online(table(spark, sf_dir, "documents"), path, keep_ids=False).drop("ids")
+
+
+_query(op13_square_packing)
