@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from webweave.llm.bpe import encode_texts
 from webweave.llm.common import table
 from webweave.llm.exact_dedup import exact_duplicates
+from webweave.llm.lexical_search import ranked_search
 from webweave.llm.near_vectors import near_vectors
 from webweave.llm.ngram_join import similar_documents
 from webweave.llm.packing import pack
 from webweave.llm.quality import quality_scores
+from webweave.llm.spelling import spelling_variants
 from webweave.llm.square_packing import pack_online
 from webweave.llm.substrings import repeated_passages
 from webweave.llm.toxicity import toxicity
@@ -173,3 +175,84 @@ def op13_square_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _query(op13_square_packing)
+
+
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_query(op11_ranked_search, r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // terms AS m FROM d, c),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM f, c GROUP BY term
+), s AS (
+  SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+""")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+_query(op12_spelling_variants, r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), r AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents
+), d AS (
+  SELECT run, count(*) AS n, hex(encode(concat(doc_id, ':', run))) AS code FROM r GROUP BY doc_id, run
+), b AS (
+  SELECT run, n, list_transform(range(1, length(code), 2), lambda i: CAST(
+    16 * (instr('0123456789ABCDEF', code[i]) - 1) + instr('0123456789ABCDEF', code[i + 1]) - 1 AS BIGINT)) AS bytes
+  FROM d
+), h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+    lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1]))) AS h
+  FROM b, crc
+), w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN concat(left(run, CAST(h % length(run) AS INTEGER)), substr(run, CAST(h % length(run) AS INTEGER) + 2))
+    ELSE run END AS word, n FROM h
+), v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), k AS (
+  SELECT word, n, word AS key FROM v
+  UNION ALL
+  SELECT word, n, unnest(list_distinct(list_transform(range(length(word)), lambda i: concat(left(word, i), substr(word, i + 2))))) FROM v
+), p AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word
+  WHERE levenshtein(a.word, b.word) = 1
+), g AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS near_n FROM p GROUP BY word
+), f AS (
+  SELECT word, min(near) AS near FROM p JOIN g USING (word, near_n) GROUP BY word
+), l AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * v.n THEN near END AS form,
+    CASE WHEN near_n >= 2 * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN g USING (word) LEFT JOIN f USING (word)
+), up AS (
+  SELECT word, word AS at, form AS next FROM l
+  UNION ALL
+  SELECT up.word, l.word, l.form FROM up JOIN l ON up.next = l.word
+)
+SELECT l.word, form, up.at AS root, n, n_near, form_n FROM l JOIN up ON l.word = up.word AND up.next IS NULL
+""")
