@@ -234,13 +234,16 @@ WITH RECURSIVE crc AS (
     ELSE run END AS word, n FROM h
 ), v AS (
   SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), i AS (
+  SELECT word, n, unnest(range(length(word))) AS pos FROM v
 ), k AS (
-  SELECT word, n, word AS key FROM v
-  UNION ALL
-  SELECT word, n, unnest(list_distinct(list_transform(range(length(word)), lambda i: concat(left(word, i), substr(word, i + 2))))) FROM v
+  SELECT word, n, pos, concat(left(word, CAST(pos AS INTEGER)), substr(word, CAST(pos AS INTEGER) + 2)) AS key FROM i
 ), p AS (
-  SELECT DISTINCT a.word, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word
-  WHERE levenshtein(a.word, b.word) = 1
+  SELECT a.word, b.word AS near, b.n AS near_n FROM k a JOIN k b ON a.key = b.key AND a.pos = b.pos AND a.word <> b.word
+  UNION
+  SELECT v.word, k.word, k.n FROM v JOIN k ON v.word = k.key
+  UNION
+  SELECT k.word, v.word, v.n FROM v JOIN k ON v.word = k.key
 ), g AS (
   SELECT word, count(*) AS n_near, max(near_n) AS near_n FROM p GROUP BY word
 ), f AS (

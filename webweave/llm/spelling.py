@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webweave.llm.common import partitions
@@ -328,15 +328,15 @@ def _roots(forms: DataFrame) -> DataFrame:
     A form is at least twice as frequent, so no way is longer than the logarithm of the counts.
     """
     way = materialize(forms.select("word", F.col("form").alias("root")))
-    while True:
+    moved = True
+    while moved:
         ahead = way.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        watch = Observation()
-        way = materialize(
+        stepped = materialize(
             way.join(ahead, "root", "left").select("word", F.coalesce("_next", "root").alias("root"), "_next")
-            .observe(watch, F.count("_next").alias("moved"))
-        ).drop("_next")
-        if not watch.get["moved"]:
-            return way
+        )
+        moved = not stepped.where("_next IS NOT NULL").isEmpty()
+        way = stepped.drop("_next")
+    return way
 
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
