@@ -1155,7 +1155,95 @@ def mean_distance_vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("hdbscan")
+# The labels in recursive SQL, from lb_points (id, part, mult, core) and lb_pairs (part, a, b, d, ca, cb): the minimum
+# spanning tree by Prim's algorithm in the order (w, lo, hi); its edges merged one by one (kind 0: the next
+# merge of a part, 1: a point with its component and the cluster and distance at which it falls out, 2: a
+# cluster that becomes part of another); and the selection by stability, from the innermost clusters outwards.
+_LABELS = """
+    names AS (SELECT id, part, mult, core, row_number() OVER (ORDER BY id) AS n FROM lb_points),
+    weighed AS MATERIALIZED (
+      SELECT x.part, x.n AS a, y.n AS b, greatest(p.d, p.ca, p.cb) AS w
+      FROM lb_pairs p JOIN names x ON x.id = p.a JOIN names y ON y.id = p.b),
+    tree(n, part, w, lo, hi, inside) USING KEY (n) AS (
+      SELECT n, part, (CASE WHEN n = min(n) OVER (PARTITION BY part) THEN -1 ELSE 9 END)::DOUBLE, n, n, false FROM names
+      UNION
+      SELECT r.n, r.part, CASE WHEN r.n = p.next THEN r.w ELSE e.w END, CASE WHEN r.n = p.next THEN r.lo ELSE least(r.n, p.next) END,
+        CASE WHEN r.n = p.next THEN r.hi ELSE greatest(r.n, p.next) END, r.n = p.next
+      FROM (SELECT part, arg_min(n, (w, lo, hi)) AS next FROM recurring.tree WHERE NOT inside GROUP BY part) p
+      JOIN recurring.tree r ON r.part = p.part AND NOT r.inside
+      LEFT JOIN weighed e ON e.a = p.next AND e.b = r.n
+      WHERE r.n = p.next OR (e.w, least(r.n, p.next), greatest(r.n, p.next)) < (r.w, r.lo, r.hi)),
+    steps AS MATERIALIZED (
+      SELECT part, w, lo, hi, row_number() OVER (PARTITION BY part ORDER BY w, lo, hi) AS s FROM tree WHERE w >= 0),
+    merged(kind, part, n, root, size, cl, fell, at_w) USING KEY (kind, part, n) AS (
+      SELECT 1, part, n, n, mult::BIGINT, own, own, CASE WHEN own IS NOT NULL THEN core END
+      FROM (SELECT *, CASE WHEN mult >= {m} AND core < (SELECT min(w) FROM weighed e WHERE e.a = names.n) THEN -n END AS own FROM names)
+      UNION ALL
+      SELECT DISTINCT 0, part, 0::BIGINT, 1::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM names
+      UNION
+      (WITH here AS (
+         SELECT e.part, e.s, e.w, x.root AS rx, y.root AS ry, x.size AS sx, y.size AS sy, x.cl AS cx, y.cl AS cy,
+           CASE WHEN x.cl IS NOT NULL AND y.cl IS NOT NULL THEN e.s ELSE coalesce(x.cl, y.cl, CASE WHEN x.size + y.size >= {m} THEN e.s END) END AS cl
+         FROM merged g JOIN steps e ON g.kind = 0 AND e.part = g.part AND e.s = g.root
+         JOIN recurring.merged x ON x.kind = 1 AND x.part = e.part AND x.n = e.lo
+         JOIN recurring.merged y ON y.kind = 1 AND y.part = e.part AND y.n = e.hi)
+       SELECT 0, part, 0, s + 1, NULL, NULL, NULL, NULL FROM here
+       UNION ALL
+       SELECT 1, h.part, x.n, -h.s, sx + sy, h.cl, CASE WHEN x.cl IS NULL THEN h.cl ELSE x.fell END,
+         CASE WHEN x.cl IS NULL AND h.cl IS NOT NULL THEN h.w ELSE x.at_w END
+       FROM here h JOIN recurring.merged x ON x.kind = 1 AND x.part = h.part AND x.root IN (h.rx, h.ry)
+       UNION ALL
+       SELECT 2, part, cx, s, sx, NULL, NULL, w FROM here WHERE cx IS NOT NULL AND cy IS NOT NULL
+       UNION ALL
+       SELECT 2, part, cy, s, sy, NULL, NULL, w FROM here WHERE cx IS NOT NULL AND cy IS NOT NULL)),
+    masses AS (
+      SELECT part, c, sum(k / greatest(w, 1e-12)) AS mass, sum(k) AS size FROM (
+        SELECT part, fell AS c, mult AS k, at_w AS w FROM merged JOIN names USING (part, n) WHERE kind = 1 AND fell IS NOT NULL
+        UNION ALL SELECT part, root, size, at_w FROM merged WHERE kind = 2) GROUP BY part, c),
+    clusters AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY x.part, x.c) AS i, x.part, x.c, k.root AS up,
+        mass - x.size * coalesce(1 / greatest(k.at_w, 1e-12), 0) AS own
+      FROM masses x LEFT JOIN merged k ON k.kind = 2 AND k.part = x.part AND k.n = x.c),
+    ups AS MATERIALIZED (
+      SELECT c.i, c.part, c.c, c.own, p.i AS up FROM clusters c LEFT JOIN clusters p ON p.part = c.part AND p.c = c.up),
+    sums(i, inside) USING KEY (i) AS (
+      SELECT i, 0::DOUBLE FROM ups UNION ALL SELECT 0, 1::DOUBLE
+      UNION
+      (WITH here AS (SELECT u.i, u.up, greatest(u.own, x.inside) AS worth FROM sums z JOIN ups u ON z.i = 0 AND u.i = z.inside
+                     JOIN recurring.sums x ON x.i = u.i)
+       SELECT 0, i + 1 FROM here
+       UNION ALL
+       SELECT h.up, x.inside + h.worth FROM here h JOIN recurring.sums x ON x.i = h.up)),
+    chosen(i, top) AS (
+      SELECT i, NULL::BIGINT FROM ups WHERE up IS NULL
+      UNION ALL
+      SELECT u.i, coalesce(t.top, CASE WHEN u.own >= s.inside THEN u.i END)
+      FROM chosen t JOIN ups u ON u.up = t.i JOIN sums s ON s.i = u.i),
+    inside_ AS (
+      SELECT m.part, m.n, x.mult, h.top FROM merged m JOIN names x ON x.n = m.n JOIN ups u ON u.part = m.part AND u.c = m.fell JOIN chosen h ON h.i = u.i
+      WHERE m.kind = 1 AND h.top IS NOT NULL),
+    numbers AS (
+      SELECT part, top, row_number() OVER (PARTITION BY part ORDER BY sum(mult) DESC, min(n)) - 1 AS label FROM inside_ GROUP BY part, top),
+    labels AS (
+      SELECT x.id, x.part, coalesce(k.label, -1) AS label
+      FROM names x LEFT JOIN inside_ j ON j.n = x.n LEFT JOIN numbers k ON k.part = j.part AND k.top = j.top)"""
+
+
+def _labels(min_size: int) -> str:
+    return _LABELS.replace("{m}", str(min_size))
+
+
+@query(
+    "hdbscan",
+    f"""WITH RECURSIVE gaps AS MATERIALIZED (SELECT a, b, round(d, 12) AS d FROM ({_VECTOR_PAIRS})),
+        cores AS (SELECT a AS id, max(d) AS core FROM (
+                    SELECT *, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM gaps) WHERE r <= 5 GROUP BY a),
+        lb_points AS (SELECT vec_id AS id, 'all' AS part, 1 AS mult, core FROM embeddings JOIN cores ON id = vec_id),
+        lb_pairs AS (SELECT 'all' AS part, a, b, d, x.core AS ca, y.core AS cb
+                     FROM gaps JOIN cores x ON x.id = a JOIN cores y ON y.id = b),
+        {_labels(5)}
+        SELECT id AS vec_id, label FROM labels""",
+)
 def hdbscan(spark: SparkSession, sf: str) -> DataFrame:
     labels = density.hdbscan(_vector_points(spark, sf), min_cluster_size=5)
     return labels.select(F.col("id").alias("vec_id"), "label")
@@ -1169,12 +1257,50 @@ def _crawled_documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("recluster")
+def _recluster_oracle(crawled: str, min_size: int) -> str:
+    """Clusters of the pages in ``crawled`` (domain, main, lang); the copies of a text are one weighted point."""
+    samples = _DISTANCES.replace("r <= 10", f"r <= {min_size}").replace("FROM documents", "FROM pool")
+    return f"""WITH RECURSIVE crawled AS ({crawled}),
+        pool AS (SELECT domain AS doc_id, main AS text, lang, 0 AS n_chars FROM crawled WHERE length(lang) < 10),
+        {samples},
+        reps AS (SELECT doc_id, lang, min(doc_id) OVER (PARTITION BY lang, lower(text)) AS rep FROM pool),
+        lb_points AS (SELECT rep AS id, any_value(r.lang) AS part, count(*) AS mult, round(coalesce(any_value(core), 0), 12) AS core
+                      FROM reps r LEFT JOIN cores c USING (doc_id) GROUP BY rep),
+        lb_pairs AS (SELECT p.lang AS part, a, b, round(d, 12) AS d, x.core AS ca, y.core AS cb
+                     FROM pairs p JOIN lb_points x ON x.id = a JOIN lb_points y ON y.id = b),
+        {_labels(min_size)},
+        doc_labels AS (SELECT doc_id AS id, part, label FROM reps JOIN labels l ON l.id = rep),
+        failed AS (SELECT lang FROM pool WHERE lang NOT IN (SELECT lang FROM weights)),
+        means AS (
+          SELECT part, label, coalesce(any_value(total), 0) / count(*) / count(*) AS mean_distance
+          FROM doc_labels LEFT JOIN (SELECT x.part, x.label, sum(d) AS total FROM pairs JOIN doc_labels x ON x.id = a
+                                     JOIN doc_labels y ON y.id = b AND y.label = x.label GROUP BY ALL) USING (part, label)
+          WHERE label >= 0 GROUP BY part, label)
+        SELECT domain, c.lang,
+               CASE WHEN f.lang IS NOT NULL THEN concat(c.lang, '-clustering-failed')
+                    WHEN l.id IS NOT NULL THEN concat(c.lang, label) END AS cluster,
+               CASE WHEN f.lang IS NULL THEN round(mean_distance, 6) END AS mean_distance
+        FROM crawled c LEFT JOIN doc_labels l ON l.id = c.domain LEFT JOIN means m USING (part, label)
+             LEFT JOIN (SELECT DISTINCT lang FROM failed) f ON f.lang = c.lang"""
+
+
+_DOCUMENTS_CRAWLED = "SELECT concat('d', doc_id) AS domain, text AS main, lang FROM documents WHERE text IS NOT NULL"
+
+
+@query("recluster", _recluster_oracle(_DOCUMENTS_CRAWLED, 10))
 def recluster(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(run_recluster(_crawled_documents(spark, sf)))
 
 
-@query("recluster_small")
+@query("recluster_small", _recluster_oracle(_DOCUMENTS_CRAWLED, 3))
 def recluster_small(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of three and more, which the test documents do have."""
     return _rounded(run_recluster(_crawled_documents(spark, sf), min_cluster_size=3))
+
+
+@query("recluster_planted", _recluster_oracle(
+    "SELECT domain, main, lang FROM fx_crawled WHERE last_successful_scrape_date IS NOT NULL AND main IS NOT NULL", 10
+))
+def recluster_planted(spark: SparkSession, sf: str) -> DataFrame:
+    """Real clusters of near copies among noise, a language that fails, unusable languages and unread pages."""
+    return _rounded(run_recluster(view(spark, sf, "fx_crawled")))

@@ -98,6 +98,24 @@ VIEWS = {
 }
 
 
+def _near_copy(n: int) -> str:
+    return f"""
+        SELECT concat('p', CAST(doc_id AS STRING), 'x{n}') AS domain, concat(text, ' extra{n} extra{(n + 1) % 15}') AS main,
+               lang, CAST(DATE '2024-05-01' AS TIMESTAMP) AS last_successful_scrape_date
+        FROM documents WHERE doc_id % 40 = 3 AND n_chars BETWEEN 500 AND 4000"""
+
+
+# crawled pages: the documents, fifteen near copies of some, and pages that cannot be clustered
+VIEWS["fx_crawled"] = """
+        SELECT concat('d', CAST(doc_id AS STRING)) AS domain,
+               CASE WHEN doc_id % 50 = 9 THEN NULL ELSE text END AS main,
+               CASE WHEN doc_id % 50 = 7 THEN 'Can''t detect language - no text, or langdetect not installed'
+                    WHEN doc_id % 50 = 8 THEN NULL
+                    WHEN doc_id % 50 = 6 THEN concat('x', CAST(doc_id AS STRING)) ELSE lang END AS lang,
+               CASE WHEN doc_id % 50 <> 10 THEN CAST(DATE '2024-05-01' AS TIMESTAMP) END AS last_successful_scrape_date
+        FROM documents""" + "".join(f" UNION ALL {_near_copy(n)}" for n in range(15))
+
+
 def needed(*names: str) -> list[str]:
     """The views that the given ones build on, in order, the given ones included."""
     found: list[str] = []
