@@ -20,7 +20,7 @@ DELETE_EVERY = 97
 #: The trees that deal words to cells are fitted on at most this many words; every word is dealt.
 SAMPLE_WORDS = 200_000
 #: A cell is split while it holds more words of the sample; also how many words a leaf in a cell has.
-CELL_WORDS, LEAF_WORDS = 4_000, 48
+CELL_WORDS, LEAF_WORDS = 4_000, 128
 #: Distinct words that a task counts before it sends them on.
 COUNTED_WORDS = 300_000
 #: Bytes of one comparison of queries with words.
@@ -89,6 +89,12 @@ def letter_counts(letters: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 120).astype(np.int8)
 
 
+def letter_code(vectors: np.ndarray) -> np.ndarray:
+    """Two bits per dimension: is the count one or more, two or more? Differing bits are at most the L1 distance."""
+    bits = np.stack([vectors >= 1, vectors >= 2], axis=2).reshape(len(vectors), 2 * DIMENSIONS)
+    return np.packbits(bits, axis=1).view(np.uint64)[:, 0]
+
+
 class KdTree:
     """A k-d tree over count vectors: nodes (dimension, threshold, low child, high child) and leaves.
 
@@ -193,8 +199,9 @@ class Cell:
     def __init__(self, words: list[bytes]) -> None:
         self.words, self.length = words, len(words[0])
         self.letters = _matrix(words, self.length)
-        self.vectors = letter_counts(self.letters)
-        self.tree = KdTree(self.vectors, LEAF_WORDS)
+        vectors = letter_counts(self.letters)
+        self.codes = letter_code(vectors)
+        self.tree = KdTree(vectors, LEAF_WORDS)
 
     def near(self, queries: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query numbers, word numbers) one edit apart, for queries of one length.
@@ -204,14 +211,14 @@ class Cell:
         """
         letters = _matrix(queries, len(queries[0]))
         vectors = letter_counts(letters)
+        codes = letter_code(vectors)
         reach = 2 if len(queries[0]) == self.length else 1
         for leaf, rows in self.tree.search(vectors, reach):
             members = self.tree.members[leaf]
-            step = max(1, _CHUNK // (len(members) * DIMENSIONS))
+            step = max(1, _CHUNK // (8 * len(members)))
             for i in range(0, len(rows), step):
                 some = rows[i : i + step]
-                far = np.abs(vectors[some][:, None, :] - self.vectors[members][None, :, :]).sum(2, dtype=np.int16)
-                a, b = np.nonzero(far <= reach)
+                a, b = np.nonzero(np.bitwise_count(codes[some][:, None] ^ self.codes[members][None, :]) <= reach)
                 wide = max(1, _CHUNK // (self.length + 1))
                 for j in range(0, len(a), wide):
                     q, w = some[a[j : j + wide]], members[b[j : j + wide]]
