@@ -44,6 +44,34 @@ def test_removal_leaves_isolated_nodes(spark):
     ]
 
 
+def test_removals_in_turn_equal_a_graph_without_the_nodes(spark):
+    """Members kept up to date by removals are those of the graph that never had the nodes."""
+    rng = random.Random(9)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(55)] + [("lone", "pair"), ("pair", "lone")]
+    pairs = sorted({p for p in pairs if p[0] != p[1]})
+    edges = edges_of(spark, pairs)
+    known, left = graph.members(graph.edge_nodes(edges), edges), edges
+    gone = []
+    for names in (["pair"], ["n7", "n30", "nobody"], ["n7"], ["n11"]):
+        gone += names
+        known, left = graph.members_without(known, left, spark.createDataFrame([(n,) for n in names], "domain string"))
+        attributes = spark.createDataFrame([], "domain string, domain_rating double, organic_traffic long")
+        got = sorted(tuple(r) for r in graph.members_info(known, attributes).collect())
+        assert got == sorted(tuple(r) for r in info_of(spark, pairs, gone).collect())
+        assert sorted(tuple(r) for r in left.collect()) == [p for p in pairs if not set(p) & set(gone)]
+
+
+def test_components_of_numbers_and_names_agree(spark):
+    rng = random.Random(2)
+    pairs = [(rng.randrange(10, 99), rng.randrange(10, 99)) for _ in range(50)]
+    numbers = spark.createDataFrame(pairs, "src long, dst long")
+    names = edges_of(spark, [(str(a), str(b)) for a, b in pairs])
+    nodes = spark.range(10, 99).withColumnRenamed("id", "domain")
+    by_number = {r.domain: r.root for r in graph.connected(nodes, numbers).collect()}
+    by_name = {int(r.domain): int(r.root) for r in graph.connected(nodes.selectExpr("string(domain) AS domain"), names).collect()}
+    assert by_number == by_name and len(by_number) == 89
+
+
 def test_empty_graph(spark):
     assert info_of(spark, []).count() == 0
 

@@ -15,7 +15,7 @@ from webweave.operators.keys import latest_rows, upsert, without_key
 from webweave.plans.ingest import State, ingest
 from webweave.schemas import BACKLINK_KEYS, BACKLINKS, DOMAINS, SCRAPED_DOMAINS, URL_MATCHES
 from webweave.sources.export import read_export
-from webweave.sources.tables import replace_table
+from webweave.sources.store import read_stored, replace_table
 from webweave.streaming.incremental import stream_backlinks
 
 
@@ -122,11 +122,11 @@ def test_stream_takes_up_columns(spark, tmp_path):
     replace_table(spark.createDataFrame([], BACKLINKS), table, BACKLINK_KEYS)
     _links(spark).write.parquet(folder)
     query = stream_backlinks(
-        spark.readStream.schema(_links(spark).schema).parquet(folder), lambda: spark.read.parquet(table),
+        spark.readStream.schema(_links(spark).schema).parquet(folder), lambda: read_stored(spark, table),
         lambda df: replace_table(df, table, BACKLINK_KEYS), lambda n: "2024-01-01", str(tmp_path / "progress"),
     )
     query.awaitTermination(120)
-    (row,) = spark.read.parquet(table).collect()
+    (row,) = read_stored(spark, table).collect()
     assert (row.link_anchor, row.extra) == ("y", "e2")
 
 

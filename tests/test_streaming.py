@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 from webweave.schemas import BACKLINK_KEYS, BACKLINKS
-from webweave.sources.tables import replace_table
-from webweave.streaming.incremental import export_stream, stream_backlinks
+from webweave.sources.store import read_manifest, read_stored, replace_table
+from webweave.streaming.incremental import export_stream, stream_backlinks, stream_into_table
 
 HEADER = ["#", "Referring Page URL", "Link URL", "Link Anchor", "Backlink Status", "First Seen", "Last Check", "Day Lost"]
 
@@ -24,7 +24,7 @@ def test_stream_of_exports(spark, tmp_path):
     def run():
         query = stream_backlinks(
             export_stream(spark, str(folder), schema),
-            lambda: spark.read.schema(BACKLINKS).parquet(table),
+            lambda: read_stored(spark, table),
             lambda df: replace_table(df, table, BACKLINK_KEYS),
             lambda n: "2024-01-01", str(tmp_path / "progress"),
         )
@@ -36,5 +36,27 @@ def test_stream_of_exports(spark, tmp_path):
     put("2.csv", [["1", "http://a.com", "http://t", "x", "Lost", "2020-01-01", "2020-02-02", "2020-02-01"]])
     run()
     run()
-    got = {r.referring_page_url: (r.live, r.link_type, r.url_main) for r in spark.read.parquet(table).collect()}
+    got = {r.referring_page_url: (r.live, r.link_type, r.url_main) for r in read_stored(spark, table).collect()}
     assert got == {"http://a.com": (False, "Has anchor", "a.com"), "http://b.com": (True, "No anchor", "b.com")}
+
+
+def test_stream_into_a_stored_table(spark, tmp_path):
+    """Batches go into the buckets of their hosts, and a batch that comes again is recognised."""
+    folder, table = tmp_path / "in", str(tmp_path / "backlinks")
+    folder.mkdir()
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in HEADER])
+    replace_table(spark.createDataFrame([], BACKLINKS), table, BACKLINK_KEYS, ["url_main"])
+
+    def run(progress):
+        query = stream_into_table(export_stream(spark, str(folder), schema), table, lambda n: f"2024-01-0{n + 1}", str(tmp_path / progress))
+        query.awaitTermination(120)
+
+    for i, status in enumerate(("", "Lost")):
+        lines = [HEADER, ["1", "http://a.com", "http://t", "x", status, "2020-01-01", f"2020-01-0{i + 2}", ""]]
+        (folder / f"{i}.csv").write_bytes(("\n".join("\t".join(x) for x in lines) + "\n").encode("utf-16"))
+        run("progress")
+    (row,) = read_stored(spark, table).collect()
+    assert (row.live, row.last_updated.day) == (False, 2)
+    before = read_manifest(table)
+    run("lost progress")  # the stream starts anew: its batch 0 is in the ledger
+    assert read_manifest(table) == before and before.batches == {"backlinks": 1}

@@ -6,12 +6,13 @@ import base64
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from webweave import schemas
 from webweave.operators import crawl
 from webweave.operators.keys import check_keys, upsert
-from webweave.plans.ingest import State, clean_backlinks, ingest, stored_in
-from webweave.sources import tables
+from webweave.plans.ingest import State, clean_backlinks, ingest, ingest_into, stored_in
+from webweave.sources import store, tables
 from webweave.sources.export import read_export
 
 
@@ -63,7 +64,58 @@ def test_replace_table(spark, tmp_path):
         assert check_keys(broken, ["k"]).count() == 1
         with pytest.raises(tables.KeyViolation):
             tables.replace_table(broken, path, ["k"])
-    assert rows(spark.read.parquet(path)) == rows(first)
+    assert rows(tables.read_stored(spark, path)) == rows(first)
+
+
+def _files(path):
+    return {str(f.relative_to(path)) for f in path.rglob("*.parquet")}
+
+
+def test_upsert_leaves_other_buckets_alone(spark, tmp_path):
+    path = tmp_path / "t"
+    old = spark.createDataFrame([(i, f"g{i % 40}", "old") for i in range(400)], "k int, g string, c string")
+    store.replace_table(old, str(path), ["k", "g"], ["g"], buckets=16)
+    before, manifest = _files(path), store.read_manifest(str(path))
+    updates = spark.createDataFrame([(3, "g3", "new", 1), (1_003, "g3", "new", 2)], "k int, g string, c string, extra int")
+    got = store.upsert_table(updates, str(path), "all", add_columns=True)
+    want = {(i, f"g{i % 40}", "old", None) for i in range(400) if i != 3} | {(3, "g3", "new", 1), (1_003, "g3", "new", 2)}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == 401
+    after = store.read_manifest(str(path))
+    (bucket,) = store.buckets_of(updates, str(path))
+    assert {b for b in after.folders if after.folders[b] != manifest.folders.get(b)} == {str(bucket)}
+    assert before <= _files(path), "the version before stays readable"
+    # an update of another bucket: what only the first version had is gone, all others stay
+    later = spark.createDataFrame([(7, "g7", "newer", None)], "k int, g string, c string, extra int")
+    store.upsert_table(later, str(path), "all")
+    assert not any(f.startswith(manifest.folders[str(bucket)]) for f in _files(path))
+    assert len([f for f in path.iterdir() if f.name.startswith("_manifest")]) == 2
+    assert store.read_stored(spark, str(path)).count() == 401
+    assert store.upsert_table(later.limit(0), str(path), "all").count() == 401
+
+
+def test_failed_write_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "k int, c string")
+    store.replace_table(first, path, ["k"])
+    before = store.read_manifest(path)
+    broken = first.withColumn("c", F.raise_error(F.lit("no")).cast("string"))
+    with pytest.raises(Exception, match="no"):
+        store.replace_table(broken, path, ["k"])
+    with pytest.raises(store.KeyViolation):
+        store.upsert_table(spark.createDataFrame([(3, "x"), (3, "y")], "k int, c string"), path)
+    assert store.read_manifest(path) == before and rows(store.read_stored(spark, path)) == rows(first)
+    assert rows(store.replace_table(first.limit(0), path, ["k"])) == [] and store.read_stored(spark, path).columns == ["k", "c"]
+    with pytest.raises(FileNotFoundError):
+        store.read_stored(spark, str(tmp_path / "none"))
+
+
+def test_repeated_batch_is_recognised(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store.replace_table(spark.createDataFrame([(1, 0)], "k int, n int"), path, ["k"])
+    for number, n in ((0, 5), (1, 6), (1, 99), (0, 98), (2, 7)):
+        store.upsert_table(spark.createDataFrame([(1, n)], "k int, n int"), path, batch=("links", number))
+        assert store.has_batch(path, ("links", number)) and not store.has_batch(path, ("other", number))
+    assert rows(store.read_stored(spark, path)) == [(1, 7)]
 
 
 def test_encoded_crawl_table(spark):
@@ -140,3 +192,49 @@ def test_ingest_stores_each_table(spark, tmp_path):
         state = ingest(export, domains, state, "2024-01-02", store=stored_in(str(tmp_path)))
     anchored = ingest(export, domains, empty, "2024-01-01", types=["Has anchor"]).scraped.first()
     assert anchored.total_backlinks == 1
+    counts = {(r.table, r.column): r.n for r in state.rejected_times.collect()}
+    assert set(counts.values()) == {0} and len(counts) == 4
+
+
+def test_uploads_into_a_stored_state_equal_ingest(spark, tmp_path):
+    """Uploads in turn: statuses change, a longer known domain takes hosts over, a row loses its type."""
+    header = "`#` string, `Referring Page URL` string, `Link URL` string, `Link Anchor` string, `Backlink Status` string, "
+    header += "`First Seen` string, `Last Check` string, `Day Lost` string"
+
+    def links(*found):
+        return spark.createDataFrame([("1", u, "http://t", a, s, day, "", "") for u, a, s, day in found], header)
+
+    def names(*found):
+        return spark.createDataFrame(
+            [("1", d, "1", "2", "2019-01-01") for d in found],
+            "`#` string, `Referring Domain` string, `Domain Rating (desc)` string, `Organic Traffic` string, `First Seen` string",
+        )
+
+    uploads = [
+        (links(("https://www.m.a.com/1", "x", "", "2020-01-02"), ("http://a.com/2", "x", "", "1/2/2020"), ("http://b.org/", "", "", "soon")), names("a.com")),
+        (links(("http://a.com/2", "", "Lost", "2020-01-02"), ("http://m.a.com/3", "x", "", "5 Jan 2020"), ("http://c.org/", "x", "", "Jan 3, 2020")), names("m.a.com", "c.org")),
+        (links(("http://z.m.a.com/3", "x", "", "2019-01-05")), names("c.org").limit(0)),
+    ]
+    for types in (None, ["Has anchor"]):
+        state = State(*[
+            spark.createDataFrame([], s)
+            for s in (schemas.BACKLINKS, schemas.DOMAINS, schemas.URL_MATCHES, schemas.SCRAPED_DOMAINS)
+        ])
+        folder = str(tmp_path / f"s{types is None}")
+        for i, (export, known) in enumerate(uploads):
+            state = ingest(export, known, state, f"2024-01-0{i + 1}", types, store=stored_in(f"{folder}-full"))
+            stored = ingest_into(folder, export, known, f"2024-01-0{i + 1}", types)
+            for name in ("backlinks", "domains", "url_matches", "scraped", "rejected_backlinks", "rejected_times"):
+                assert rows(getattr(stored, name)) == rows(getattr(state, name)), (types, i, name)
+        assert stored.scraped.count() == 3
+
+
+def test_upload_reads_and_writes_its_hosts_buckets_only(spark, tmp_path):
+    header = "`Referring Page URL` string, `Link URL` string, `Link Anchor` string, `Backlink Status` string, `First Seen` string, `Last Check` string, `Day Lost` string"
+    many = spark.createDataFrame([(f"http://h{i}.com/", "http://t", "x", "", "2020-01-01", "", "") for i in range(200)], header)
+    known = spark.createDataFrame([("h1.com", "1", "2", "2019-01-01")], "`Referring Domain` string, `Domain Rating` string, `Organic Traffic` string, `First Seen` string")
+    ingest_into(str(tmp_path), many, known, "2024-01-01")
+    before = store.read_manifest(str(tmp_path / "backlinks")).folders
+    ingest_into(str(tmp_path), many.where("`Referring Page URL` = 'http://h1.com/'"), known, "2024-01-02")
+    after = store.read_manifest(str(tmp_path / "backlinks")).folders
+    assert sum(after[b] != before[b] for b in before) == 1 and set(after) == set(before)

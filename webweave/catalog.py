@@ -5,6 +5,7 @@ Every query reads the given tables in full, or views that are derived from them
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,12 @@ from webweave.functions import urls as U
 from webweave.operators import crawl, density, graph, language, matching, reports, text
 from webweave.operators.keys import check_keys, upsert
 from webweave.plans.crawl import crawl as run_crawl
-from webweave.plans.ingest import State, ingest
+from webweave.plans.ingest import State, ingest, ingest_into
+from webweave.plans.ingest import rejected_times as ingest_times
 from webweave.plans.recluster import recluster as run_recluster
-from webweave.plans.reports import ClusterReport
+from webweave.plans.reports import ClusterReport, NetworkReport
 from webweave.schemas import BACKLINKS, DOMAINS, SCRAPED_DOMAINS, URL_MATCHES
-from webweave.session import materialize
+from webweave.session import checkpoint_dir, materialize
 from webweave.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,6 +265,67 @@ def ingest_queue(spark: SparkSession, sf: str) -> DataFrame:
     return state.scraped.select("domain", *crawl.COUNTERS, "first_seen", "last_scrape_date")
 
 
+def _uploaded_twice(spark: SparkSession, sf: str) -> State:
+    """Two uploads in turn: two thirds of the backlinks, all still live, then the rest and what was lost."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    links, domains = _backlinks_export(spark, sf), _domains_export(spark, sf)
+    page, even = F.col("#").cast("long"), F.length("Referring Domain") % 2 == 0
+    first = links.where(page % 3 != 0).withColumn("Backlink Status", F.lit(""))
+    ingest_into(folder, first, domains.where(even), LOAD_TIME)
+    second = links.where((page % 3 == 0) | (F.col("Backlink Status") != ""))
+    return ingest_into(folder, second, domains.where(~even), LOAD_TIME)
+
+
+@query("ingest_twice_backlinks", _INGESTED)
+def ingest_twice_backlinks(spark: SparkSession, sf: str) -> DataFrame:
+    return _uploaded_twice(spark, sf).backlinks
+
+
+# a domain keeps the first sight that it came into the queue with
+_QUEUE_TWICE = _COUNTERS.replace("min(first_seen) AS first_seen", """
+           CASE WHEN length(domain) % 2 = 0 AND count(*) FILTER (page_id % 3 <> 0) > 0
+                THEN min(first_seen) FILTER (page_id % 3 <> 0) ELSE min(first_seen) END AS first_seen""")
+
+
+@query("ingest_twice_queue", f"SELECT domain, total_backlinks, live_backlinks, url_www, url_https, first_seen FROM ({_QUEUE_TWICE})")
+def ingest_twice_queue(spark: SparkSession, sf: str) -> DataFrame:
+    return _uploaded_twice(spark, sf).scraped.select("domain", *crawl.COUNTERS, "first_seen")
+
+
+@query("ingest_twice_matches", """
+    SELECT DISTINCT url_main, referring_domain AS matching_domain
+    FROM fx_backlinks LEFT JOIN fx_domains ON regexp_extract(url_main, '[^.]+[.][^.]+[.][^.]+$', 0) = referring_domain
+    WHERE url_main IS NOT NULL""")
+def ingest_twice_matches(spark: SparkSession, sf: str) -> DataFrame:
+    return _uploaded_twice(spark, sf).url_matches.select("url_main", "matching_domain")
+
+
+@query(
+    "queue_of_types",
+    f"""SELECT domain, total_backlinks, live_backlinks, url_www, url_https, first_seen
+        FROM ({_COUNTERS.replace("GROUP BY 1", "AND link_anchor IS NOT NULL GROUP BY 1")})""",
+)
+def queue_of_types(spark: SparkSession, sf: str) -> DataFrame:
+    """The crawl queue from backlinks with an anchor only."""
+    state = _old_state(spark, sf)
+    state.scraped = spark.createDataFrame([], SCRAPED_DOMAINS)
+    state.backlinks = spark.createDataFrame([], BACKLINKS)
+    links, domains = _backlinks_export(spark, sf), _domains_export(spark, sf)
+    result = ingest(links, domains, state, LOAD_TIME, types=[C.HAS_ANCHOR])
+    return result.scraped.select("domain", *crawl.COUNTERS, "first_seen")
+
+
+@query(
+    "rejected_times",
+    """SELECT 'backlinks' AS "table", 'first_seen' AS "column", 0 AS n
+       UNION ALL SELECT 'backlinks', 'last_check', count(*) FILTER (page_id % 5 = 0) FROM fx_backlinks
+       UNION ALL SELECT 'backlinks', 'day_lost', 0
+       UNION ALL SELECT 'domains', 'first_seen', 0""",
+)
+def rejected_times(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest_times(_backlinks_export(spark, sf), _domains_export(spark, sf))
+
+
 @query(
     "link_types",
     """SELECT page_id, CASE WHEN link_anchor LIKE '%1%' THEN 'numbered'
@@ -556,7 +619,7 @@ def language_model(spark: SparkSession, sf: str) -> DataFrame:
     model = language.train_language_model(
         table(spark, sf, "documents", spread=True), "lang", "text"
     )
-    return model.select("gram", "lang", F.round("weight", 6).alias("weight"))
+    return language.every_weight(model).select("gram", "lang", F.round("weight", 6).alias("weight"))
 
 
 @query(
@@ -575,14 +638,15 @@ def detect_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CRAWLED = f"""
+    captured AS (SELECT * REPLACE (concat('p', page_id, '.', domain) AS domain) FROM fx_responses WHERE domain IS NOT NULL),
     queue AS (
-      SELECT url_main AS domain, count(*) AS total_backlinks, count(*) FILTER (url_www = 'www.') AS www,
+      SELECT concat('p', page_id, '.', url_main) AS domain, count(*) AS total_backlinks, count(*) FILTER (url_www = 'www.') AS www,
              count(*) FILTER (url_https = 'https://') AS https
       FROM fx_backlinks WHERE url_main IS NOT NULL GROUP BY 1),
     tries AS (
       SELECT domain, total_backlinks, (www > 0)::INT * ((https > 0)::INT + (https < total_backlinks)::INT)
              + (www < total_backlinks)::INT * ((https > 0)::INT + (https < total_backlinks)::INT) AS tries FROM queue),
-    attempts AS (SELECT a.* FROM ({_ATTEMPTS}) a JOIN tries USING (domain) WHERE pos <= tries),
+    attempts AS (SELECT a.* FROM ({_ATTEMPTS.replace("fx_responses", "captured")}) a JOIN tries USING (domain) WHERE pos <= tries),
     picked AS ({_PICKED.replace(f"({_ATTEMPTS})", "attempts")}),
     read AS (SELECT domain, {_PAGE_COLUMNS} FROM picked),
     known AS (
@@ -615,12 +679,9 @@ _CRAWLED = f"""
              LEFT JOIN page_lang l USING (domain)""",
 )
 def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole crawl: the queue is all hosts, each answered for its candidate URLs.
-
-    The pages of a host answer its candidate URLs in turn, so every attempt finds a response.
-    """
-    backlinks = view(spark, sf, "fx_backlinks")
-    hosts = backlinks.where("url_main IS NOT NULL").groupBy(F.col("url_main").alias("domain")).agg(
+    """The whole crawl over all pages: each is the front page of a domain of its own, named by page and host."""
+    backlinks = view(spark, sf, "fx_backlinks").where("url_main IS NOT NULL")
+    hosts = backlinks.groupBy(F.concat(F.lit("p"), "page_id", F.lit("."), "url_main").alias("domain")).agg(
         F.count("*").alias("total_backlinks"),
         F.count_if(F.isnull("backlink_status")).alias("live_backlinks"),
         F.count_if(F.col("url_www") == U.WWW).alias("url_www"),
@@ -628,7 +689,10 @@ def crawl_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.min("first_seen").alias("first_seen"),
     )
     scraped = _conform(hosts, SCRAPED_DOMAINS)
-    captured = _attempts(spark, sf).withColumn("pos", F.col("pos") - 1).withColumnRenamed("url", "page_url")
+    captured = view(spark, sf, "fx_responses").where("domain IS NOT NULL").select(
+        F.concat(F.lit("p"), "page_id", F.lit("."), "domain").alias("domain"),
+        F.lit(0).alias("pos"), "status_code", "request_error", "fetched_at", "html",
+    )
     responses = crawl.candidates(scraped).join(captured, ["domain", "pos"]).drop("domain", "pos")
     documents = table(spark, sf, "documents", spread=True)
     model = language.train_language_model(documents, "lang", "text")
@@ -792,6 +856,35 @@ def remove_node(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(graph.component_info(info))
 
 
+@query("remove_node_update", _graph_sql("fx_edges_large", "'n7'") + " SELECT * FROM stats")
+def remove_node_update(spark: SparkSession, sf: str) -> DataFrame:
+    """The same removal from stored members: only the component that held the node is connected again."""
+    nodes, edges = _graph(spark, sf, "fx_edges_large")
+    names = nodes.where(F.col("domain") == "n7")
+    left, _ = graph.members_without(graph.members(nodes, edges), edges, names)
+    return _rounded(graph.component_info(graph.members_info(left, _network(spark, sf))))
+
+
+_KNOWN_EDGES = f"""(
+    SELECT DISTINCT src, d.referring_domain AS dst
+    FROM (SELECT domain AS src, unnest({_LINK_HOSTS}) AS host FROM ({_PAGES}))
+    JOIN fx_domains d ON regexp_extract(host, '[^.]+[.][^.]+[.][^.]+$', 0) = d.referring_domain
+    WHERE src IN (SELECT referring_domain FROM fx_domains))"""
+_FIRST_DOMAIN = "(SELECT min(referring_domain) FROM fx_domains)"
+
+
+@query("network_report", _graph_sql(_KNOWN_EDGES, _FIRST_DOMAIN) + " SELECT * FROM stats")
+def network_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The network of known domains from stored crawl columns, without its first domain."""
+    domains = view(spark, sf, "fx_domains")
+    links = _linked_pages(spark, sf).select("domain", F.explode("links_known_domains").alias("known")).distinct()
+    per_domain = links.groupBy("domain").agg(F.collect_list("known").alias("links_known_domains"))
+    crawled = view(spark, sf, "fx_scraped").join(per_domain, "domain", "left")
+    report = NetworkReport(domains, _conform(crawled, SCRAPED_DOMAINS))
+    first = domains.agg(F.min("referring_domain")).first()[0]
+    return _rounded(report.remove_node(first).component_info)
+
+
 @query(
     "component_subgraph",
     _graph_sql("fx_edges_large")

@@ -22,18 +22,12 @@ OUTCOME = [
 CONTENT = ["lang", "html", "main", "links", "links_main_domains", "links_known_domains"]
 
 
-def crawl_counters(
-    backlinks: DataFrame, matches: DataFrame, types: Sequence[str] | None = None
-) -> DataFrame:
-    """Per matched domain: backlink counts, live ones, www and https ones, first sight.
-
-    Rows are summed per host before the join with the matches, so a host with very many backlinks
-    is reduced on the map side and never becomes a skewed join key.
-    """
+def host_counters(backlinks: DataFrame, types: Sequence[str] | None = None) -> DataFrame:
+    """Per referring host: backlink counts, live ones, www and https ones, first sight."""
     if types is not None:
         backlinks = backlinks.where(F.col("link_type").isin(list(types)))
     parts = urls.split_url(F.col("referring_page_url"))
-    hosts = (
+    return (
         backlinks.select(
             stored_host(backlinks).alias("url_main"),
             F.isnull("backlink_status").cast("long").alias("live"),
@@ -51,6 +45,10 @@ def crawl_counters(
             F.min("first_seen").alias("first_seen"),
         )
     )
+
+
+def domain_counters(hosts: DataFrame, matches: DataFrame) -> DataFrame:
+    """The counters of hosts added up per matched domain."""
     known = matches.where("matching_domain IS NOT NULL").select(
         "url_main", F.col("matching_domain").alias("domain")
     )
@@ -59,6 +57,17 @@ def crawl_counters(
     )
 
 
+def crawl_counters(
+    backlinks: DataFrame, matches: DataFrame, types: Sequence[str] | None = None
+) -> DataFrame:
+    """Per matched domain: backlink counts, live ones, www and https ones, first sight.
+
+    Rows are summed per host before the join with the matches, so a host with very many backlinks
+    is reduced on the map side and never becomes a skewed join key.
+    """
+    return domain_counters(host_counters(backlinks, types), matches)
+
+
 def build_crawl_queue(
     scraped: DataFrame, backlinks: DataFrame, matches: DataFrame, types: Sequence[str] | None = None
 ) -> DataFrame:

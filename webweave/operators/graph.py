@@ -79,6 +79,34 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(domain, root): the smallest member of each node's weakly connected component.
 
+    Names become numbers in name order first and come back once at the end, so the rounds aggregate
+    longs by hash and never move or sort a name. Nodes that are longs already stay as they are.
+    """
+    if nodes.schema["domain"].dataType.simpleString() == "bigint":
+        found = _contract(edges.select("src", "dst"))
+        return nodes.join(found.withColumnRenamed("x", "domain"), "domain", "left").withColumn(
+            "root", F.coalesce("root", "domain")
+        )
+    names = materialize(numbered(nodes.select("domain").distinct(), ["domain"], "id"))
+    roots = _contract(_as_numbers(edges, names))
+    of_root = names.select(F.col("id").alias("root"), F.col("domain").alias("_root"))
+    by_id = names.join(roots.withColumnRenamed("x", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    found = by_id.join(of_root, "root").select("domain", F.col("_root").alias("root"))
+    return nodes.join(found, "domain")
+
+
+def _as_numbers(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges (src, dst) with numbers for names."""
+    out = edges.select("src", "dst")
+    for end in ("src", "dst"):
+        here = names.select(F.col("domain").alias(end), F.col("id").alias(f"_{end}"))
+        out = out.join(here, end)
+    return out.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """(x, root) for every number with a neighbour: the smallest number of its component.
+
     Rounds of hooking and contraction: every node points at its smallest neighbour if that is
     smaller, pointers are doubled until they end at roots, and the roots become the nodes of the
     next, smaller graph. A root that nothing points at has a smaller neighbour in the next round, so
@@ -113,9 +141,7 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         roots = rounds.pop().join(later, "root", "left").select(
             "x", F.coalesce("_root", "root").alias("root")
         )
-    return nodes.join(roots.withColumnRenamed("x", "domain"), "domain", "left").withColumn(
-        "root", F.coalesce("root", "domain")
-    )
+    return roots
 
 
 def _point(pairs: DataFrame) -> DataFrame:
@@ -140,27 +166,51 @@ def _point(pairs: DataFrame) -> DataFrame:
             return pointers
 
 
+def members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(domain, root, all_links, in_links, out_links), stored: what a removal is computed from."""
+    return materialize(connected(nodes, edges).join(degrees(nodes, edges), "domain"))
+
+
+def members_without(known: DataFrame, edges: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``members`` and edges after the domains in ``names(domain)`` are removed; unknown names are ignored.
+
+    Only components that held a removed domain are looked at: their other members are connected
+    again over their remaining edges, and lose the links that went. All others keep their root and
+    degrees; no edge of theirs is read again, but for the test of its source's component.
+    """
+    gone = names.select("domain").distinct()
+    touched = materialize(known.join(gone, "domain", "left_semi").select("root").distinct())
+    inside = materialize(known.join(touched, "root", "left_semi").join(gone, "domain", "left_anti").select("domain"))
+    kept_nodes, kept_edges = remove_nodes(inside, edges.join(inside.withColumnRenamed("domain", "src"), "src", "left_semi"), gone)
+    again = members(kept_nodes, materialize(kept_edges))
+    others = known.join(touched, "root", "left_anti").select(*again.columns)
+    return materialize(others.unionByName(again)), remove_nodes(inside, edges, gone)[1]
+
+
+def number_components(known: DataFrame) -> DataFrame:
+    """(root, component): components numbered from 0 by size, ties by smallest member."""
+    sizes = known.groupBy("root").agg((-F.count("*")).alias("minus_size"))
+    return numbered(sizes, ["minus_size", "root"], "component").select("root", "component")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(domain, component): weak components numbered from 0 by size, ties by smallest member."""
-    members = materialize(connected(nodes, edges))
-    sizes = members.groupBy("root").agg((-F.count("*")).alias("minus_size"))
-    numbers = numbered(sizes, ["minus_size", "root"], "component")
-    return members.join(numbers.select("root", "component"), "root").select("domain", "component")
+    found = materialize(connected(nodes, edges))
+    return found.join(number_components(found), "root").select("domain", "component")
 
 
 def domain_info(nodes: DataFrame, edges: DataFrame, domains: DataFrame) -> DataFrame:
     """Per node: component, links, rating and traffic; sort by ``all_links`` descending to read."""
+    return members_info(members(nodes, edges), domains)
+
+
+def members_info(known: DataFrame, domains: DataFrame) -> DataFrame:
+    """``domain_info`` of stored ``members``."""
     attributes = domains.where("domain IS NOT NULL").select(
         "domain", "domain_rating", "organic_traffic"
     )
-    return (
-        components(nodes, edges)
-        .join(degrees(nodes, edges), "domain")
-        .join(attributes, "domain", "left")
-        .select(
-            "domain", "component", "all_links", "in_links", "out_links", "domain_rating",
-            "organic_traffic",
-        )
+    return known.join(number_components(known), "root").join(attributes, "domain", "left").select(
+        "domain", "component", "all_links", "in_links", "out_links", "domain_rating", "organic_traffic",
     )
 
 

@@ -61,35 +61,38 @@ class NetworkReport:
         domains: DataFrame,
         scraped: DataFrame,
         link_type: str = "all_known_domains",
-        removed: tuple[str, ...] = (),
-        known_edges: DataFrame | None = None,
+        before: NetworkReport | None = None,
+        removed: str | None = None,
     ) -> None:
-        """``known_edges``: the stored edges of this link type before any removal, if there are such."""
+        """``before`` and ``removed``: the report of the same tables that a domain is taken out of."""
         self._tables = (domains, scraped)
-        self.link_type, self.removed_nodes = link_type, removed
+        self.link_type = link_type
         self.network_domains = graph.network_domains(domains, scraped)
-        if known_edges is None:
-            known_edges = materialize(graph.build_edges(self.network_domains, link_type))
-        self._all_edges = edges = known_edges
-        nodes = graph.edge_nodes(edges)
-        if removed:
-            names = domains.sparkSession.createDataFrame([(n,) for n in removed], "domain string")
-            nodes, edges = graph.remove_nodes(nodes, edges, names)
-        self.nodes, self.edges = nodes, edges
+        if before is None:
+            self.removed_nodes: tuple[str, ...] = ()
+            self._whole = self
+            self.edges = materialize(graph.build_edges(self.network_domains, link_type))
+            self._members = graph.members(graph.edge_nodes(self.edges), self.edges)
+        else:
+            self.removed_nodes = (*before.removed_nodes, removed)
+            self._whole = before._whole
+            names = domains.sparkSession.createDataFrame([(removed,)], "domain string")
+            self._members, self.edges = graph.members_without(before._members, before.edges, names)
+        self.nodes = self._members.select("domain")
 
     @cached_property
     def domain_info(self) -> DataFrame:
-        return materialize(graph.domain_info(self.nodes, self.edges, self.network_domains))
+        return materialize(graph.members_info(self._members, self.network_domains))
 
     @cached_property
     def component_info(self) -> DataFrame:
         return graph.component_info(self.domain_info).orderBy("component")
 
     def remove_node(self, node: str) -> NetworkReport:
-        return NetworkReport(*self._tables, self.link_type, (*self.removed_nodes, node), self._all_edges)
+        return NetworkReport(*self._tables, self.link_type, self, node)
 
     def reset_network_graph(self) -> NetworkReport:
-        return NetworkReport(*self._tables, self.link_type, known_edges=self._all_edges)
+        return self._whole
 
     def set_link_type(self, link_type: str) -> NetworkReport:
         return NetworkReport(*self._tables, link_type)

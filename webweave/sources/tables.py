@@ -1,14 +1,16 @@
-"""Stored tables: ad-hoc SQL, keyed replacement and the encoded form of the crawl table."""
+"""Tables: ad-hoc SQL, keyed storage (``store``) and the encoded form of the crawl table."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webweave.operators.keys import check_keys
-from webweave.session import materialize
+from webweave.sources.store import KeyViolation, read_stored, replace_table, upsert_table
+
+__all__ = [
+    "KeyViolation", "export_crawl_table", "import_crawl_table", "read_stored", "read_table", "replace_table", "sql",
+    "upsert_table",
+]
 
 # The columns that the encoded crawl table stores as base64.
 TEXT_COLUMNS = ("html", "main")
@@ -29,24 +31,6 @@ def sql(spark: SparkSession, text: str, **views: DataFrame) -> DataFrame:
     return spark.sql(text, **views)
 
 
-class KeyViolation(ValueError):
-    """A table to be stored has duplicate or null keys."""
-
-
-def replace_table(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame:
-    """Replace the table at ``path`` once the keys are known to be unique and not null.
-
-    The rows are written to the checkpoint folder first: the key check and the final write then see
-    the same rows, and a plan that reads the old table at ``path`` may be stored over it.
-    """
-    staged = materialize(df)
-    broken = check_keys(staged, keys).limit(5).collect()
-    if broken:
-        raise KeyViolation(f"keys {list(keys)} violated, for example {broken}")
-    staged.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(staged.schema).parquet(path)
-
-
 def _decoded(col: Column) -> Column:
     return F.decode(F.unbase64(col), "UTF-8")
 

@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from webweave.operators.keys import latest_rows, upsert
 from webweave.plans.ingest import BACKLINK_ORDER, clean_backlinks
 from webweave.schemas import BACKLINK_KEYS
+from webweave.session import materialize
 from webweave.sources.export import ENCODING, SEPARATOR, without_returns
+from webweave.sources.store import has_batch, upsert_table
 
 
 def export_stream(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
@@ -23,6 +25,30 @@ def export_stream(spark: SparkSession, folder: str, schema: T.StructType) -> Dat
     )
 
 
+def stream_into_table(
+    exports: DataFrame, path: str, load_time: Callable[[int], str], checkpoint: str, name: str = "backlinks",
+) -> StreamingQuery:
+    """Upsert every batch of export rows into the stored backlinks at ``path`` (see ``store``).
+
+    A batch writes the buckets of its hosts only. The table's ledger names the last batch of the stream
+    ``name``, so a batch that is repeated after a failure is recognised and left out.
+    """
+
+    def upload(batch: DataFrame, number: int) -> None:
+        if has_batch(path, (name, number)):
+            return
+        rows = clean_backlinks(batch, load_time(number))
+        latest = materialize(latest_rows(rows, BACKLINK_KEYS, BACKLINK_ORDER))
+        upsert_table(latest, path, "all", add_columns=True, batch=(name, number))
+
+    return (
+        exports.writeStream.foreachBatch(upload)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def stream_backlinks(
     exports: DataFrame,
     read_state: Callable[[], DataFrame],
