@@ -79,20 +79,27 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(domain, root): the smallest member of each node's weakly connected component.
 
-    Names become numbers in name order first and come back once at the end, so the rounds aggregate
-    longs by hash and never move or sort a name. Nodes that are longs already stay as they are.
+    Names become their 64-bit hashes, so the rounds aggregate longs by hash and never move or sort a
+    name; names come back once at the end. Should two names share a hash, numbers in name order take
+    the hashes' place. Nodes that are longs already stay as they are.
     """
     if nodes.schema["domain"].dataType.simpleString() == "bigint":
         found = _contract(edges.select("src", "dst"))
         return nodes.join(found.withColumnRenamed("x", "domain"), "domain", "left").withColumn(
             "root", F.coalesce("root", "domain")
         )
-    names = materialize(numbered(nodes.select("domain").distinct(), ["domain"], "id"))
-    roots = _contract(_as_numbers(edges, names))
-    of_root = names.select(F.col("id").alias("root"), F.col("domain").alias("_root"))
-    by_id = names.join(roots.withColumnRenamed("x", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    found = by_id.join(of_root, "root").select("domain", F.col("_root").alias("root"))
-    return nodes.join(found, "domain")
+    names = nodes.select("domain").distinct().withColumn("id", F.xxhash64("domain"))
+    if names.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        pairs = edges.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
+    else:
+        names = materialize(numbered(nodes.select("domain").distinct(), ["domain"], "id"))
+        pairs = _as_numbers(edges, names)
+    roots = _contract(pairs)
+    by_id = materialize(
+        names.join(roots.withColumnRenamed("x", "id"), "id", "left").select("domain", F.coalesce("root", "id").alias("_root"))
+    )
+    least = by_id.groupBy("_root").agg(F.min("domain").alias("root"))
+    return nodes.join(by_id.join(least, "_root").select("domain", "root"), "domain")
 
 
 def _as_numbers(edges: DataFrame, names: DataFrame) -> DataFrame:
