@@ -154,8 +154,22 @@ def test_compact_windows_cover_every_stretch_once():
             windows = compact_windows(hashes, width)
             for i in range(40):
                 for j in range(i + width - 1, 40):
-                    own = [c for a, c, b in windows if a <= i <= c <= j <= b]
-                    assert len(own) == 1 and hashes[own[0]] == hashes[i : j + 1].min()
+                    least = hashes[i : j + 1].min()
+                    places = set((i + np.flatnonzero(hashes[i : j + 1] == least)).tolist())
+                    own = [(c, d) for a, c, d, b in windows if a <= i and j <= b and hashes[c] == least and places & set(range(c, d + 1))]
+                    assert len(own) == 1
+    assert compact_windows(np.full(200_000, 7, np.uint64), 35) == [(0, 0, 199_999, 199_999)]
+
+
+def test_copies_of_a_passage_name_the_first_document(docs_of, prose):
+    passage = prose(50_000, 60)
+    rows = repeated_passages(docs_of(_around_passages(prose, [passage] * 30))).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(1, 30))
+    assert all(r.source_id < r.doc_id and r.end_word - r.start_word >= 60 and r.similarity == 1 for r in rows)  # prose may go on alike
+    short = " ".join(passage.split()[:44])  # 40 shingles of 46
+    rows = repeated_passages(docs_of(_around_passages(prose, [short] * 3))).collect()
+    assert sorted((r.doc_id, r.source_id) for r in rows) == [(1, 0), (2, 0)]
+    assert all(r.end_word - r.start_word == 50 and r.similarity == pytest.approx(40 / 46) for r in rows)
 
 
 def test_alike_finds_stretches():
