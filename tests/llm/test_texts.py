@@ -95,6 +95,15 @@ def test_archives_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(spark):
+    pages = spark.range(400).repartition(8).selectExpr("id AS page_id", "'u' AS url", "sha2(string(id), 512) AS html")
+    index = warc.write_archives(pages, file_bytes=4_000, frame_bytes=1_000)
+    assert index.select("file").distinct().count() > 16
+    read = warc.read_archives(index)
+    assert read.count() == 400
+    assert read.selectExpr("spark_partition_id() AS task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 @pytest.fixture(scope="module")
 def tiktoken_of():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}

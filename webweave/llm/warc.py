@@ -254,7 +254,8 @@ def read_archives(index: DataFrame, payloads: bool = True) -> DataFrame:
 
         yield from _batches(rows(), payloads)
 
-    files = index.select("file").distinct().repartition(partitions(index.sparkSession), "file")
+    # not by the file's name: the distinct rows are dealt by it already, and few bytes of names end in one task
+    files = index.select("file").distinct().repartition(partitions(index.sparkSession))
     return files.mapInArrow(read, _RECORDS_DDL)
 
 
@@ -263,16 +264,21 @@ def look_up(index: DataFrame, payloads: bool = True) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[dict]:
-            at, name, number, raw = None, None, None, b""
+            source, at, name, number, raw = None, None, None, None, b""
             for batch in batches:
                 for row in batch.to_pylist():
                     if row["file"] != name:
                         name, number = row["file"], None
-                        at = BundleReader(_open(name))
+                        if source is not None:
+                            source.close()
+                        source = _open(name)
+                        at = BundleReader(source)
                     if row["frame"] != number:
                         number = row["frame"]
                         raw = at.frame(number)
                     yield parse_record(raw[row["offset"] : row["offset"] + row["length"]])
+            if source is not None:
+                source.close()
 
         yield from _batches(rows(), payloads)
 
