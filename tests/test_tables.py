@@ -238,3 +238,16 @@ def test_upload_reads_and_writes_its_hosts_buckets_only(spark, tmp_path):
     ingest_into(str(tmp_path), many.where("`Referring Page URL` = 'http://h1.com/'"), known, "2024-01-02")
     after = store.read_manifest(str(tmp_path / "backlinks")).folders
     assert sum(after[b] != before[b] for b in before) == 1 and set(after) == set(before)
+
+
+def test_a_table_of_many_files_is_not_dealt_out(spark, tmp_path, capsys):
+    from webweave.sources.tables import read_table
+
+    spark.conf.set("spark.sql.files.openCostInBytes", str(2**27))
+    try:
+        spark.range(40).repartition(4).write.parquet(str(tmp_path / "t"))
+        for n, exchanges in ((4, 0), (9, 1)):
+            read_table(spark, str(tmp_path / "t"), n).explain()
+            assert capsys.readouterr().out.count("Exchange") == exchanges
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
