@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,13 @@ def test_own_links_and_hosts(spark):
     assert got["a.com"].links == ["http://c.com/1", "http://c.com/2"]
     assert got["a.com"].links_main_domains == ["c.com"]
     assert got["none.com"].main is None and got["none.com"].links is None
+
+
+def test_pages_are_read_a_slice_at_a_time(spark):
+    from webweave.functions import html
+
+    pages = [b"<title>%d</title>" % i + b" " * 400_000 if i % 4 else None for i in range(20)]
+    assert max(len(x) for x in html._slices(pa.array(pages))) <= 4
+    assert [p for some in html._slices(pa.array(pages)) for p in some] == pages
+    got = spark.createDataFrame(list(enumerate(pages)), "i int, html binary").coalesce(1).select("i", html.extract_page("html").alias("p"))
+    assert {r.i: r.p.title for r in got.collect()} == {i: str(i) if i % 4 else None for i in range(20)}
