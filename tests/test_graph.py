@@ -8,6 +8,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from webweave.catalog import _graph
 from webweave.operators import graph, reports
 from webweave.operators.ordered import group_medians, numbered, running
 from webweave.plans.reports import NetworkReport
@@ -163,6 +164,11 @@ def test_real_clusters(spark):
     assert sorted(r.cluster for r in reports.real_clusters(df).collect()) == ["en1", "zh-cn3"]
 
 
+def test_queries_find_distinct_edges_and_nodes_once(spark, sf_dir):
+    for rows in _graph(spark, sf_dir, "fx_edges_large"):
+        assert all("/table-" in path for path in rows.inputFiles()) and rows.inputFiles()
+
+
 def test_report_order(spark):
     df = spark.createDataFrame(
         [("en1", "en", 2, 0.1), ("de0", "de", 1, 0.5), ("en0", "en", 3, 0.9), ("en2", "en", 2, 0.05)],
