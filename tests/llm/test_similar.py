@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +15,8 @@ from webweave.llm import near_vectors as vectors_module
 from webweave.llm.near_vectors import list_decode, near_vectors, scores
 from webweave.llm.ngram_join import Threshold, divide_skip, probe, similar_documents
 from webweave.llm.shingles import Words
-from webweave.llm.substrings import alike, compact_windows, cut, hopeful, repeated_passages, without_repeats
+from webweave.llm.substrings import _shared, _short, alike, compact_windows, cut, hopeful, repeated_passages, without_repeats
+from webweave.session import checkpoint_dir
 
 
 def test_list_decode_finds_every_direction_that_exceeds():
@@ -146,6 +148,34 @@ def test_documents_with_null_and_repeated_ids(docs_of, prose):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in rows) == [("4", "4")] * 3 + [("5", "4"), ("None", "None")]
 
 
+def _left_behind(spark, run):
+    """Columns of the stored tables that are still there once ``run`` has returned."""
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    run()
+    return {c for path in set(folder.glob("table-*")) - before for c in spark.read.parquet(str(path)).columns}
+
+
+def test_stored_sets_and_spans_are_deleted(spark, docs_of, prose):
+    docs = docs_of(_around_passages(prose, [prose(60_000, 400), prose(60_000, 390), prose(60_001, 60), prose(60_001, 60)]))
+    assert _left_behind(spark, lambda: similar_documents(docs).count()).isdisjoint({"tokens", "hashes", "small", "token"})
+    assert _left_behind(spark, lambda: repeated_passages(docs).count()).isdisjoint({"shared", "shingles", "signature"})
+
+
+def test_overlap_that_two_sizes_need():
+    t = Threshold(75)
+    for a in range(1, 60):
+        sizes = np.array([b for b in range(1, 60) if 4 * min(a, b) >= 3 * max(a, b)])
+        least = [next(c for c in range(a + 1) if t.links(c, a, b)) for b in sizes.tolist()]
+        assert t.overlap_of(a, sizes).tolist() == least
+
+
+def test_shared_shingles_take_four_bytes(spark):
+    texts = spark.createDataFrame([(1, "a b c d e f g"), (2, "x a b c d e f"), (3, "k l m n o p")], "doc_id long, text string")
+    common = {_short(x).tobytes() for x in np.split(next(Words(["a b c d e f"]).shingles(5)), 2)}
+    assert {r.doc_id: set(map(bytes, r.shared)) for r in _shared(texts, 5).collect()} == {1: common, 2: common}
+
+
 def test_compact_windows_cover_every_stretch_once():
     rng = np.random.default_rng(7)
     for ties in (10**9, 4):
