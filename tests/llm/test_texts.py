@@ -198,6 +198,11 @@ def test_packing_of_a_table(docs_of, prose):
     assert packing.pack(docs.limit(0), WORDS).count() == 0
 
 
+def test_ids_do_not_pass_through_python_to_be_placed(docs_of, prose):
+    plan = packing.pack(docs_of([(1, prose(1, 9)), (2, "")]), WORDS)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+
+
 def test_chunks_make_up_the_text(spark, prose):
     from pyspark.sql import functions as F
 

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -18,8 +19,8 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from webweave.llm.common import Memory, id_and_text
 from webweave.session import materialize
 
-#: Words whose ids a worker remembers: a bound of memory only.
-REMEMBERED = 500_000
+#: Words whose ids a worker remembers, in each of two generations: a bound of memory only.
+REMEMBERED = 200_000
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
     ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("slice", pa.int32()), ("nth", pa.int64()),
@@ -229,23 +230,20 @@ def pack(
     ranked = pieces.join(offsets, ["length", "slice"]).withColumn("rank", F.col("nth") + F.col("_before"))
     places = docs.sparkSession.sparkContext.broadcast(_placing(plan_bins(counts, size)))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
-            sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
-            for n in np.unique(length):
-                at = np.flatnonzero(length == n)
-                first_rank, first, many, start = places.value[int(n)]
-                entry = np.searchsorted(first_rank, rank[at], "right") - 1
-                inside = rank[at] - first_rank[entry]
-                sequence[at] = first[entry] + inside // many[entry]
-                offset[at] = start[entry] + inside % many[entry] * n
-            kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(sequence), pa.array(offset)],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"],
-            )
-
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "ids", "rank").mapInArrow(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long"
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(lengths, ranks):
+        length, rank = lengths.to_numpy(), ranks.to_numpy()
+        sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
+        for n in np.unique(length):
+            at = np.flatnonzero(length == n)
+            first_rank, first, many, start = places.value[int(n)]
+            entry = np.searchsorted(first_rank, rank[at], "right") - 1
+            inside = rank[at] - first_rank[entry]
+            sequence[at] = first[entry] + inside // many[entry]
+            offset[at] = start[entry] + inside % many[entry] * n
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    # only lengths and ranks go through Python, the ids stay with Spark
+    return ranked.withColumn("_at", place("length", "rank")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "ids", "_at.sequence_id", "_at.offset"
     )
