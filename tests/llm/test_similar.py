@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import math
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pytest
 from llm_brute import cosine_links, jaccard_components, repeated_documents, shingles
+from pyspark.sql import functions as F
 
 from webweave.llm import near_vectors as vectors_module
+from webweave.llm.common import stored
 from webweave.llm.near_vectors import list_decode, near_vectors, scores
 from webweave.llm.ngram_join import Threshold, divide_skip, probe, similar_documents
 from webweave.llm.shingles import Words
-from webweave.llm.substrings import _shared, _short, alike, compact_windows, cut, hopeful, repeated_passages, without_repeats
+from webweave.llm.substrings import _met, _shared, _short, alike, compact_windows, cut, hopeful, repeated_passages, without_repeats
 from webweave.session import checkpoint_dir
 
 
@@ -300,3 +303,26 @@ def test_passages_that_only_later_documents_have(docs_of, prose):
 def test_cut_keeps_the_rest():
     assert cut("aé b\nc  d e", [(1, 3), (2, 4)]) == "aé  e"
     assert cut("a b", [(0, 2)]) == "" and cut("a b", []) == "a b" and cut("a b", [(1, 9)]) == "a"
+
+
+def test_shuffles_of_a_stored_table_are_deleted_at_once(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in map(str, files.mkString(" ").split()) if "shuffle_" in name}
+
+    before = shuffles()
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    table = stored(spark.range(1_000).groupBy((F.col("id") % 100).alias("k")).count().repartition(5, "count"))
+    for _ in range(50):  # Spark's executors delete them on their own
+        if not shuffles() <= before:
+            time.sleep(0.1)
+    assert shuffles() <= before and table.count() == 100
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+
+
+def test_windows_meet_share_by_share(spark):
+    rows = [(s, f, d, 0, 1, 1, 9) for s in range(-7, 40) for f, d in ((0, 5 + s % 3), (1, 6), (2, 6))]
+    windows = spark.createDataFrame(rows, "signature long, function byte, doc_id long, l int, c int, d int, r int")
+    hits, shares = _met(windows)
+    assert len(shares) > 1
+    assert sorted(map(tuple, hits.collect())) == sorted((*r, 5 if r[0] % 3 == 0 else 6) for r in rows if r[0] % 3 != 1)
