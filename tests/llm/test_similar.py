@@ -18,7 +18,9 @@ from webweave.llm.common import stored
 from webweave.llm.near_vectors import list_decode, near_vectors, scores
 from webweave.llm.ngram_join import Threshold, divide_skip, probe, similar_documents
 from webweave.llm.shingles import Words
-from webweave.llm.substrings import _met, _shared, _short, alike, compact_windows, cut, hopeful, repeated_passages, without_repeats
+from webweave.llm.substrings import (
+    ENOUGH, _joined, _met, _rounds, _shared, _short, _stretches, alike, compact_windows, cut, hopeful, repeated_passages, without_repeats,
+)
 from webweave.session import checkpoint_dir
 
 
@@ -326,3 +328,30 @@ def test_windows_meet_share_by_share(spark):
     hits, shares = _met(windows)
     assert len(shares) > 1
     assert sorted(map(tuple, hits.collect())) == sorted((*r, 5 if r[0] % 3 == 0 else 6) for r in rows if r[0] % 3 != 1)
+
+
+def test_pairs_of_windows_meet_across_batches(spark):
+    rng = random.Random(5)
+    rows = [
+        (d, o, f, 10 + f % 3, 80 + rng.randint(0, 9), 20 + f % 5, 95 + rng.randint(0, 9))
+        for d, o in ((9, 1), (9, 2), (8, 1), (7, 3)) for f in range(24 if d != 7 else ENOUGH - 1) for _ in range(1 + f % 2)
+    ]
+    names = ["doc_id", "other", "function", "l", "r", "pl", "pr"]
+    pairs = spark.createDataFrame(rows, "doc_id long, other long, function byte, l int, r int, pl int, pr int")
+    wanted = []
+    for d, o in {r[:2] for r in rows}:
+        group = {c: np.array([r[i] for r in rows if r[:2] == (d, o)]) for i, c in enumerate(names)}
+        wanted += [(d, lo, hi, o, plo, phi) for lo, hi, plo, phi in _stretches(group, 46, 35)]
+    assert len({w[0] for w in wanted}) == 2
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows_in_batch in ("5", size):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_in_batch)
+            assert sorted(map(tuple, _joined(pairs, 46, 35).collect())) == sorted(wanted)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_a_frequent_signature_is_searched_in_shares(spark):
+    own = spark.createDataFrame([(s, d) for s, n in ((1, 40), (2, 3)) for d in range(n)], "signature long, doc_id long")
+    assert _rounds(own, own, 2_000) == 1 and _rounds(own, own, 400) == 5 and _rounds(own.limit(0), own, 1) == 1
